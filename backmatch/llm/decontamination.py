@@ -69,7 +69,8 @@ def windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
     while by < width:
         rows = rows.select(*keep, _doubled(F.col("h"), by).alias("h"))
         by *= 2
-    return rows.select(*keep, F.posexplode("h").alias("at", "hash"))
+    # outer, as an inner one adds a filter that computes all of this again
+    return rows.select(*keep, F.posexplode_outer("h").alias("at", "hash")).where("hash is not null")
 
 
 def _item_windows(items: DataFrame, width: int) -> DataFrame:
