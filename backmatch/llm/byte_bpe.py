@@ -20,9 +20,12 @@ import base64
 import codecs
 import hashlib
 import os
+import re
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,7 +33,12 @@ from .common import arrow_batches, table
 from .token_counts import balanced, default_path
 
 RANKS = "byte_bpe_50k.tiktoken"
-KEPT, KEPT_CHARS = 150_000, 40
+#: Pieces kept per worker, their longest, and the longest piece that is split here.
+KEPT, KEPT_CHARS, LONG = 250_000, 32, 1 << 14
+#: The usual pattern for a piece whose characters beyond ASCII are all letters; splitting it here
+#: and handing each match to the model saves the library's bookkeeping for short pieces.
+_USUAL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
+_ASCII = re.compile(r"[\x00-\x7f]+")
 
 
 def byte_characters() -> list[str]:
@@ -79,28 +87,49 @@ class Codec:
         back = {c: b for b, c in enumerate(chars)}
         # from the written form back to bytes, as the library hands tokens out
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
-        self.kept: dict[str, tuple[tuple[int, ...], str]] = {"": ((), "")}
-
-    def _learn(self, new: Iterable[str]) -> dict[str, tuple[tuple[int, ...], str]]:
-        out = {}
-        for group in balanced(sorted(new)):
+        self.model, self.usual = self.tokenizer.model, pattern in (None, public_tokenizers.PATTERN)
+        self.chars, self.written = chars, dict(enumerate(chars))
+        self.decimal = {i: str(i) for i in self.bytes_of}
+        self.kept: dict[str, bytes] = {}
+
+    def _match(self, m: str) -> bytes:
+        """The packed ids of one match of the pattern: the model alone, on the written form of its bytes."""
+        w = m.replace(" ", self.chars[32]) if m.isascii() and m.isprintable() else m.encode().decode("latin-1").translate(self.written)
+        return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
+
+    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        rest = []
+        for p in new:
+            if not self.usual or len(p) > LONG:
+                rest.append(p)
+            elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
+                out[p] = self._match(p)  # a word is one match
+            elif p.isascii() or _ASCII.sub("", p).isalpha():
+                out[p] = b"".join([self.kept.get(m) or self._match(m) for m in _USUAL.findall(p)])
+            else:
+                rest.append(p)
+        for group in balanced(rest):
             for t, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                out[t] = (tuple(e.ids), " ".join(map(str, e.ids)))
+                out[t] = array("I", e.ids).tobytes()
         return out
 
-    def encode(self, text: str) -> tuple[list[int], str]:
-        """The ids, and their decimal text joined by one space."""
+    def encode(self, text: str) -> list[int]:
         cut = cuts(text)
         kept = self.kept
-        more: dict[str, tuple[tuple[int, ...], str]] = {}
-        if new := {p for p in cut if p not in kept}:
-            if len(kept) + len(new) > KEPT:
-                kept = self.kept = {"": ((), "")}
-                new = set(cut) - {""}
+        found = [*map(kept.get, cut)]
+        if None in found:
+            new = {p for p, x in zip(cut, found, strict=True) if x is None}
             more = self._learn(new)
+            if len(kept) + len(new) > KEPT:
+                kept.clear()
             kept.update((p, x) for p, x in more.items() if len(p) <= KEPT_CHARS)
-        found = [more[p] if p in more else kept[p] for p in cut] if more else [kept[p] for p in cut]
-        return list(chain.from_iterable(x[0] for x in found)), " ".join(x[1] for x in found if x[1])
+            found = [more[p] if x is None else x for p, x in zip(cut, found, strict=True)]
+        return np.frombuffer(b"".join(found), np.uintc).tolist()
+
+    def written_ids(self, ids: list[int]) -> str:
+        """Decimal ids joined by one space."""
+        return " ".join(map(self.decimal.__getitem__, ids))
 
     def offsets(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) in code points; a character split over tokens is in the range of each."""
@@ -130,14 +159,19 @@ def cuts(text: str) -> list[str]:
     if not text:
         return []
     parts = text.split(" ")
-    out = [parts[0]]
-    for left, p in zip(parts, parts[1:], strict=False):
-        if left and p and not left[-1].isspace() and not p[0].isspace():
-            out.append(" " + p)
-        else:
-            out[-1] += " " + p
-    return out
+    if _ODD.search(text):
+        out = [parts[0]]
+        for left, p in zip(parts, parts[1:], strict=False):
+            if left and p and not left[-1].isspace() and not p[0].isspace():
+                out.append(" " + p)
+            else:
+                out[-1] += " " + p
+        return out
+    return [parts[0], *(" " + p for p in parts[1:])]
+
 
+#: A space at either end or next to other white space: not every space begins a match then.
+_ODD = re.compile(r"^ | $| \s|\s ")
 
 _CODECS: dict[tuple[str, str | None], Codec] = {}
 
@@ -163,9 +197,9 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
         for b in batches:
             rows = [[], [], [], []]
             for t in b.column(1).to_pylist():
-                got, joined = own.encode(t or "")
+                got = own.encode(t or "")
                 rows[0].append(len(got))
-                rows[1].append(hashlib.sha256(joined.encode()).hexdigest())
+                rows[1].append(hashlib.sha256(own.written_ids(got).encode()).hexdigest())
                 rows[2].append(hashlib.sha256(own.decode_bytes(got)).hexdigest())
                 if ids:
                     rows[3].append(pa.array(got, pa.int32()))
