@@ -63,9 +63,8 @@ def sql_union(queries: list[tuple[int, Query]], source: str, key: str, columns:
     return "\nUNION ALL\n".join(f"SELECT {key} AS doc_id, {i}::BIGINT AS qid FROM {source} WHERE {sql_predicate(q, columns)}" for i, q in queries)
 
 
-# -- document views of the tables: Spark columns and SQL columns for the same fields
+# -- document views of the tables: Spark SQL and DuckDB SQL for the same fields
 
-_k = F.get_json_object("props", "$.k")
 
 
 def _cell_number(key: str, spark: bool):
@@ -81,22 +80,26 @@ def _cell_number(key: str, spark: bool):
 
 
 _CELL_SQL = f"printf('%x', {_cell_number('c_custkey', False)})"
-_CELL = F.expr(f"lower(hex({_cell_number('c_custkey', True)}))")
+_CELL = f"lower(hex({_cell_number('c_custkey', True)}))"
 _LAT = lambda s: f"cast(40 + (c_custkey * 37) % 15 AS {s}) || '.' || lpad(cast((c_custkey * 7919) % 1000 AS {s}), 3, '0')"
 _LNG = lambda s: f"cast((c_custkey * 53) % 20 AS {s}) || '.' || lpad(cast((c_custkey * 104729) % 1000 AS {s}), 3, '0')"
 
 VIEWS: dict[str, tuple] = {
-    "events": ("event_id", {"type": F.col("event_type"), "k": _k, "user": F.col("user_id").cast("string")}, "events", {"type": "event_type", "k": "json_extract_string(props, '$.k')", "user": "cast(user_id AS VARCHAR)"}),
-    "documents": ("doc_id", {"lang": F.col("lang"), "source": F.col("source"), "long": F.when(F.col("n_chars") > 2000, "yes")}, "documents", {"lang": "lang", "source": "source", "long": "CASE WHEN n_chars > 2000 THEN 'yes' END"}),
-    "part": ("p_partkey", {"name": F.col("p_name"), "brand": F.col("p_brand"), "type": F.col("p_type"), "size": F.col("p_size").cast("string"), "odd": F.expr("CASE p_partkey % 6 WHEN 0 THEN concat('00', p_size) WHEN 1 THEN concat(' ', p_size) WHEN 2 THEN concat(p_size, '.5') WHEN 3 THEN concat('+', p_size) WHEN 4 THEN '' ELSE '99999999999999999999' END")}, "part", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "cast(p_size AS VARCHAR)", "odd": "CASE p_partkey % 6 WHEN 0 THEN '00' || p_size WHEN 1 THEN ' ' || p_size WHEN 2 THEN p_size || '.5' WHEN 3 THEN '+' || p_size WHEN 4 THEN '' ELSE '99999999999999999999' END"}),
-    "pages": ("page_id", {"url": F.concat(F.lit("é"), "url")}, "pages", {"url": "'é' || url"}),
-    "customer": ("c_custkey", {"cell": _CELL, "at": F.expr(f"{_LAT('STRING')} || ',' || {_LNG('STRING')}"), "segment": F.col("c_mktsegment")}, "customer", {"cell": _CELL_SQL, "at": f"{_LAT('VARCHAR')} || ',' || {_LNG('VARCHAR')}", "segment": "c_mktsegment"}),
+    "events": ("event_id", {"type": "event_type", "k": "get_json_object(props, '$.k')", "user": "cast(user_id AS STRING)"}, "events", {"type": "event_type", "k": "json_extract_string(props, '$.k')", "user": "cast(user_id AS VARCHAR)"}),
+    "documents": ("doc_id", {"lang": "lang", "source": "source", "long": "CASE WHEN n_chars > 2000 THEN 'yes' END"}, "documents", {"lang": "lang", "source": "source", "long": "CASE WHEN n_chars > 2000 THEN 'yes' END"}),
+    "part": ("p_partkey", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "cast(p_size AS STRING)", "odd": ("CASE p_partkey % 6 WHEN 0 THEN concat('00', p_size) WHEN 1 THEN concat(' ', p_size) WHEN 2 THEN concat(p_size, '.5') WHEN 3 THEN concat('+', p_size) WHEN 4 THEN '' ELSE '99999999999999999999' END")}, "part", {"name": "p_name", "brand": "p_brand", "type": "p_type", "size": "cast(p_size AS VARCHAR)", "odd": "CASE p_partkey % 6 WHEN 0 THEN '00' || p_size WHEN 1 THEN ' ' || p_size WHEN 2 THEN p_size || '.5' WHEN 3 THEN '+' || p_size WHEN 4 THEN '' ELSE '99999999999999999999' END"}),
+    "pages": ("page_id", {"url": "concat('é', url)"}, "pages", {"url": "'é' || url"}),
+    "customer": ("c_custkey", {"cell": _CELL, "at": f"{_LAT('STRING')} || ',' || {_LNG('STRING')}", "segment": "c_mktsegment"}, "customer", {"cell": _CELL_SQL, "at": f"{_LAT('VARCHAR')} || ',' || {_LNG('VARCHAR')}", "segment": "c_mktsegment"}),
 }
 
 
 def docs_of(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     key, fields, name, _ = VIEWS[view]
-    return D.to_documents(table(spark, sf_dir, name), key, fields)
+    return D.to_documents(table(spark, sf_dir, name), key, _columns(fields))
+
+
+def _columns(fields: dict[str, str]) -> dict:
+    return {k: F.expr(e) for k, e in fields.items()}
 
 
 def _cell(key: int, res: int) -> int:
@@ -276,7 +279,7 @@ def _stream(spark: SparkSession, sf: str) -> DataFrame:
     schema = table(spark, sf, name).schema
     at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{random.randrange(2**60)}"
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
-    out = percolate_stream(D.to_documents(source, key, fields), enumerate(map(parser.parse_query, _TEXTS)))
+    out = percolate_stream(D.to_documents(source, key, _columns(fields)), enumerate(map(parser.parse_query, _TEXTS)))
     out.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema("doc_id bigint, qid bigint").parquet(f"{at}/out")
 
