@@ -66,7 +66,7 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def arrow_batches(spark: SparkSession, rows: int = 4000, size: str = "16m") -> None:
+def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
     """Before Python workers are used: ship the code and bound an Arrow batch by rows and bytes."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)

@@ -43,7 +43,7 @@ SEED, BITS, BUDGET = 42, 64, 3
 WIDE, TRIE_BITS, TRIE_BUDGET, SIMILAR_BITS = 4, 32, 3, 46
 SIMILAR_SHINGLE = 5
 #: Rows of complete buckets that are traversed at once; node pairs in a step; pairs of rows compared directly.
-ROWS_AT_ONCE, PAIRS_AT_ONCE, LEAF_PAIRS = 40_000, 1 << 17, 36
+ROWS_AT_ONCE, PAIRS_AT_ONCE, LEAF_PAIRS = 30_000, 1 << 16, 36
 
 _BITS_OF = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
