@@ -23,7 +23,8 @@ from ..plans.config import EngineConfig
 from ..query import Query
 from ..sources.documents import field_values
 
-COMPILED_QUERIES = 512
+#: Most queries that are compiled on demand, and as the rest beside the anchor join.
+COMPILED_QUERIES, FEW = 512, 64
 
 _LITERAL = pa.struct([("neg", pa.bool_()), ("kind", pa.string()), ("field", pa.string()), ("val", pa.string()), ("num", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("radius", pa.int64())])
 _CLAUSES = pa.list_(pa.list_(_LITERAL))
@@ -113,17 +114,17 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: s
     parts = []
     if anchors.keys:
         parts.append(_anchored(docs, by_id, anchors, config))
-    if anchors.always:
-        parts.append(_cross(docs, [(i, by_id[i]) for i in anchors.always], config))
+    if rest := [(i, by_id[i]) for i in anchors.always]:
+        parts.append(_compiled(docs, rest) if len(rest) <= FEW else _cross(docs, rest, config))
     if not parts:
         return _cross(docs, [], config)
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def candidates(docs: DataFrame, queries: Iterable[tuple[int, Query]], config: EngineConfig | None = None) -> DataFrame:
+def candidates(docs: DataFrame, queries: Iterable[tuple[int, Query]], config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
     """doc_id, qid of the anchor join before the residual, for measuring how selective anchors are."""
     found = dict(queries)
-    anchors = choose(found.items(), config)
+    anchors = choose(found.items(), config, seen)
     own, n = anchor_frame(docs.sparkSession, anchors, found)
     probe = document_keys(docs, anchors).select("doc_id", "keys", F.explode_outer("keys").alias("key"))
     return probe.join(_bounded(own, n, config or EngineConfig()), "key").where(~F.arrays_overlap("keys", "earlier")).select("doc_id", "qid")
