@@ -155,5 +155,20 @@ def exact_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     return plain.unionByName(clashes.select("fingerprint", F.explode("each").alias("x")).select("fingerprint", "x.class_id", "x.canonical"))
 
 
+def with_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with class_id, the smallest doc_id with the same canonical bytes."""
+    classes = checkpointed(exact_classes(docs, found.select("doc_id", "fingerprint")))
+    one = classes.where("canonical is null").select("fingerprint", "class_id")
+    got = found.join(one, "fingerprint", "left")
+    several = classes.where("canonical is not null")
+    if several.isEmpty():
+        return got.select(*found.columns, "class_id")
+    ids = found.join(bounded(several.select("fingerprint").distinct()), "fingerprint", "left_semi").select("doc_id").distinct()
+    forms = canonical_texts(docs.join(bounded(checkpointed(ids)), "doc_id", "left_semi"))
+    own = forms.join(several.withColumnRenamed("class_id", "own_class"), ["fingerprint", "canonical"]).select("doc_id", "fingerprint", "own_class").distinct()
+    return got.join(own, ["doc_id", "fingerprint"], "left").select(*found.columns, F.coalesce("class_id", "own_class").alias("class_id"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return with_classes(docs, checkpointed(fingerprints(docs)))

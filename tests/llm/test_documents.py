@@ -197,6 +197,19 @@ def test_exact_classes(spark):
     own = {r["class_id"] for r in fingerprints.exact_classes(df, found).collect()}
     assert own == {2, 9, 7}
     assert fingerprints.exact_classes(df, same).count() >= 1
+    got = {r["doc_id"]: r["class_id"] for r in fingerprints.with_classes(df, found).collect()}
+    assert got == {4: 2, 2: 2, 9: 9, 7: 7, 8: 7}
+
+
+def test_bytes_decide_in_a_bucket(spark, monkeypatch):
+    """With fingerprints that all collide, the canonical bytes still tell texts apart."""
+    def colliding(docs):
+        return docs.select("doc_id", F.lit("0").alias("fingerprint"), F.coalesce("text", F.lit("")).alias("canonical"))
+
+    monkeypatch.setattr(fingerprints, "canonical_texts", colliding)
+    df = spark.createDataFrame([(4, "x"), (2, "y"), (9, "x"), (7, "y"), (8, "z")], "doc_id bigint, text string")
+    found = colliding(df).select("doc_id", "fingerprint")
+    assert {r["doc_id"]: r["class_id"] for r in fingerprints.with_classes(df, found).collect()} == {4: 4, 9: 4, 2: 2, 7: 2, 8: 8}
 
 
 # -- decontamination
