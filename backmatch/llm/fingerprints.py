@@ -138,35 +138,36 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, canonical string")
 
 
-def exact_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
+def exact_classes(docs: DataFrame, found: DataFrame, single: bool = True) -> DataFrame:
     """fingerprint, class_id (smallest doc_id), and canonical where a bucket holds several texts.
 
     ``found`` has doc_id and fingerprint of ``docs``.  Buckets of one row need
     no comparison.  In the others rows are grouped by the canonical bytes,
     combined before the shuffle, so a group of copies is one row for each task.
-    A bucket with more than one canonical form keeps one row for each.
+    A bucket with more than one canonical form keeps one row for each.  Without
+    ``single``, buckets of one row are left out.
     """
     buckets = checkpointed(found.groupBy("fingerprint").agg(F.count("*").alias("n"), F.min("doc_id").alias("class_id")))
     several = found.join(bounded(buckets.where("n > 1").select("fingerprint")), "fingerprint", "left_semi").select("doc_id").distinct()
     members = docs.select("doc_id", "text").join(bounded(checkpointed(several)), "doc_id", "left_semi")
     forms = canonical_texts(members).groupBy("fingerprint", "canonical").agg(F.min("doc_id").alias("class_id"))
     clashes = checkpointed(forms.groupBy("fingerprint").agg(F.count("*").alias("forms"), F.collect_list(F.struct("canonical", "class_id")).alias("each")).where("forms > 1"))
-    plain = buckets.join(bounded(clashes.select("fingerprint")), "fingerprint", "left_anti").select("fingerprint", "class_id", F.lit(None).cast("string").alias("canonical"))
+    plain = (buckets if single else buckets.where("n > 1")).join(bounded(clashes.select("fingerprint")), "fingerprint", "left_anti").select("fingerprint", "class_id", F.lit(None).cast("string").alias("canonical"))
     return plain.unionByName(clashes.select("fingerprint", F.explode("each").alias("x")).select("fingerprint", "x.class_id", "x.canonical"))
 
 
 def with_classes(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``found`` with class_id, the smallest doc_id with the same canonical bytes."""
-    classes = checkpointed(exact_classes(docs, found.select("doc_id", "fingerprint")))
+    classes = checkpointed(exact_classes(docs, found.select("doc_id", "fingerprint"), single=False))
     one = classes.where("canonical is null").select("fingerprint", "class_id")
-    got = found.join(one, "fingerprint", "left")
+    got = found.join(bounded(one), "fingerprint", "left")  # a document alone in its bucket is its own class
     several = classes.where("canonical is not null")
     if several.isEmpty():
-        return got.select(*found.columns, "class_id")
+        return got.select(*found.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
     ids = found.join(bounded(several.select("fingerprint").distinct()), "fingerprint", "left_semi").select("doc_id").distinct()
     forms = canonical_texts(docs.join(bounded(checkpointed(ids)), "doc_id", "left_semi"))
     own = forms.join(several.withColumnRenamed("class_id", "own_class"), ["fingerprint", "canonical"]).select("doc_id", "fingerprint", "own_class").distinct()
-    return got.join(own, ["doc_id", "fingerprint"], "left").select(*found.columns, F.coalesce("class_id", "own_class").alias("class_id"))
+    return got.join(own, ["doc_id", "fingerprint"], "left").select(*found.columns, F.coalesce("class_id", "own_class", "doc_id").alias("class_id"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
