@@ -19,4 +19,19 @@ _WHERE = {
 
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
 
-ORACLE_SQL: dict[str, str] = {}
+#: Each turn is written as its role and text with 8 + 8 + 7 characters of marks and one more for each escaped string.
+_CHAT_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized AS (
+  SELECT *, 23 + length(role) + length(text) + len(regexp_extract_all(role, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>)')) + len(regexp_extract_all(text, '[<\[]\\*(\||/?s>|/?INST\]|/?SYS>)')) AS written FROM rows)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(written)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT_SQL}
