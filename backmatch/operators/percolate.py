@@ -5,22 +5,24 @@ explodes it and joins it with the anchor rows on the hash; a pair is taken at
 the first of the query's keys that the document has, so no distinct and no
 shuffle is needed, and the whole query is evaluated as the join's residual.
 Queries without an anchor are tried on every document.  ``cross`` tries all
-queries on all documents, ``compiled`` makes one expression of each query.
+queries on all documents, ``compiled`` makes one expression of each query over
+the distinct atoms, which are evaluated once for each document.
 All three give the same set.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import CLAUSES, clauses_match, compiled, rows
+from ..functions.predicates import CLAUSES, clauses_match, compiled, compiled_literal, rows
 from ..plans.anchors import Anchors, choose
 from ..plans.config import EngineConfig
-from ..query import Query
+from ..query import Clause, Literal, Query
 from ..sources.documents import field_values
 
 #: Most queries that are compiled on demand, and as the rest beside the anchor join.
@@ -72,8 +74,17 @@ def _cross(docs: DataFrame, queries: list[tuple[int, Query]], config: EngineConf
 def _compiled(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
     if len(queries) > COMPILED_QUERIES:
         raise ValueError(f"{len(queries)} queries; at most {COMPILED_QUERIES} are compiled")
-    each = [F.when(compiled(q, F.col("f")), F.lit(i).cast("bigint")) for i, q in queries]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*each) if each else F.array().cast("array<bigint>"))).alias("qid"))
+    atoms: dict[Literal, int] = {}
+
+    def literal(x: Literal) -> str:
+        return f"{'NOT ' * x.neg}atoms[{atoms.setdefault(replace(x, neg=False), len(atoms))}]"
+
+    def clause(c: Clause) -> str:
+        return f"({' OR '.join(dict.fromkeys(map(literal, c.literals))) or 'false'})"
+
+    each = [f"CASE WHEN {' AND '.join(dict.fromkeys(map(clause, q.clauses))) or 'true'} THEN {i}L END" for i, q in queries]
+    found = docs.select("doc_id", F.array(*(compiled_literal(x, F.col("f")) for x in atoms)).alias("atoms"))
+    return found.select("doc_id", F.explode(F.expr(f"array_compact(CAST(array({', '.join(each)}) AS array<bigint>))")).alias("qid"))
 
 
 def anchor_frame(spark: SparkSession, anchors: Anchors, queries: Mapping[int, Query]) -> tuple[DataFrame, int]:
