@@ -12,11 +12,18 @@ class it finds, never pairs.
 Equal fingerprints are one row before they are dealt.  ``component_id`` is
 then found by :mod:`components`.
 
-For similarity (``similar_documents``) the fingerprint has 256 bits over the
-set of five-word shingles.  Its first 8 words of 32 bits are the tries, with
-a budget of 3 bits each; a link needs at most ``SIMILAR_BITS`` differing bits
-of all 256.  A Jaccard similarity J of the sets is a cosine of 2J/(1+J) and a
-share acos(2J/(1+J))/pi of differing bits, 39 of 256 at J = 0.8.
+For similarity (``keep_representatives``) a link is a Jaccard similarity of
+the sets of five-word shingles of at least ``SIMILAR``, compared exactly.
+Fingerprints only find the candidates: 256 bits over the set, whose 8 words
+of 32 bits are the tries, with a budget of 3 bits each and at most
+``SIMILAR_BITS`` differing bits of all 256.  A Jaccard similarity J is a
+cosine of 2J/(1+J) and a share acos(2J/(1+J))/pi of differing bits, 39 of 256
+at J = 0.8 with a deviation of 6.  A trie misses pairs whose differences are
+spread over all its words (9 % at J = 0.8), so ``BANDS`` bands of ``BAND_ROWS``
+MinHash values are candidates as well; they miss one pair in 190,000 at 0.8.
+Sets of under ``SHORT_SET`` shingles meet by their least hashes, of which two
+sets of that similarity always share one.  Candidates are joined to classes,
+and within each class the sets themselves decide.
 
 Defined results: a null text has no words, like an empty one; fingerprint zero
 is linked like any other; repeated rows are in one class; a row with a null
@@ -32,16 +39,19 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, checkpointed, drop_ids, table
+from .common import arrow_batches, bounded, checkpointed, drop_ids, table
 from .components import components
 
 SEED, BITS, BUDGET = 42, 64, 3
 #: Of the wide fingerprint: 64-bit words, bits of a trie's word, its budget, differing bits of a link.
-WIDE, TRIE_BITS, TRIE_BUDGET, SIMILAR_BITS = 4, 32, 3, 46
+WIDE, TRIE_BITS, TRIE_BUDGET, SIMILAR_BITS = 4, 32, 3, 64
 SIMILAR_SHINGLE = 5
+#: Jaccard similarity of a link, as a fraction; sets below this size meet by their least hashes.
+SIMILAR, SHORT_SET = (4, 5), 20
+BANDS, BAND_ROWS = 40, 6
 #: Rows of complete buckets that are traversed at once; node pairs in a step; pairs of rows compared directly.
 ROWS_AT_ONCE, PAIRS_AT_ONCE, LEAF_PAIRS = 30_000, 1 << 16, 36
 
@@ -77,7 +87,10 @@ def majority(hashes: np.ndarray) -> np.uint64:
 
 def wide_fingerprint(text: str, width: int = SIMILAR_SHINGLE) -> bytes:
     """``WIDE`` words, each the majority over another mixing of the set of shingle hashes."""
-    h = np.unique(shingle_hashes(text, width))
+    return wide_print(np.unique(shingle_hashes(text, width)))
+
+
+def wide_print(h: np.ndarray) -> bytes:
     out = [majority(h)]
     for k in range(1, WIDE):
         x = h * np.uint64((0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019 * 2 * k) % 2**64 | 1)
@@ -88,6 +101,30 @@ def wide_fingerprint(text: str, width: int = SIMILAR_SHINGLE) -> bytes:
     return np.array(out, np.uint64).tobytes()
 
 
+_rng = np.random.default_rng(SEED)
+_BAND_FACTORS = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BAND_SHIFTS = _rng.integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64)
+
+
+def candidate_keys(h: np.ndarray) -> np.ndarray:
+    """Keys of a sorted set of shingle hashes; similar sets share one."""
+    (a, b), n = SIMILAR, len(h)
+    keys = [np.zeros(0, np.uint64)]
+    if n * a <= (SHORT_SET - 1) * b:  # also the sets that are similar to a short one
+        keys.append(h[: n - -(-n * a // b) + 1])
+    if n >= SHORT_SET:
+        least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+        for i in range(0, n, 256):
+            x = h[i : i + 256] ^ _BAND_SHIFTS[:, None]
+            x *= _BAND_FACTORS[:, None]
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            np.minimum(least, x.min(1), out=least)
+        raw = least.reshape(BANDS, BAND_ROWS)
+        keys.append(np.array([xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(raw)], np.uint64))
+    return np.concatenate(keys)
+
+
 def _connect(comp: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Classes after the links (a, b); each class is named by its smallest row."""
     while True:
@@ -183,9 +220,70 @@ def _bucket_stars(batches: Iterator[pa.RecordBatch], words: int, bits: int, budg
         yield emit(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
+def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
+    """For each of some sorted sets of hashes, the first of its component: sets are linked at a
+    Jaccard similarity of ``SIMILAR``.  A set is compared with those not reached yet, so a dense
+    group costs about its size."""
+    a, b = SIMILAR
+    comp = np.arange(len(sets))
+    sizes = np.array([len(x) for x in sets])
+    token = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(len(token) + 1, bool)
+    left, flat = np.arange(len(sets)), token
+    while len(left):
+        queue = [first := left[0]]
+        fresh = np.zeros(len(left), bool)
+        fresh[0] = True
+        while queue:
+            if fresh.any():
+                flat, left = flat[np.repeat(~fresh, sizes[left])], left[~fresh]
+            if not len(left):
+                break
+            x = queue.pop()
+            own = token[begin[x] : begin[x + 1]]
+            mark[own] = True
+            seen = np.concatenate([[0], np.cumsum(mark[flat])])
+            mark[own] = False
+            ends = np.cumsum(sizes[left])
+            common = seen[ends] - seen[ends - sizes[left]]
+            fresh = common * b >= (len(own) + sizes[left] - common) * a
+            fresh &= sizes[left] > 0
+            comp[left[fresh]] = first
+            queue += left[fresh].tolist()
+    return comp
+
+
+def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """class, node, set rows sorted by class and node -> node, component where they differ."""
+    nodes: list[int] = []
+    sets: list[np.ndarray] = []
+
+    def decided():
+        at = np.array(nodes, np.int64)
+        least = at[similar_sets(sets)]
+        apart = least != at
+        return at[apart], least[apart]
+
+    held = None
+    for b in batches:
+        out = []
+        for key, node, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if key != held and nodes:
+                out.append(decided())
+                nodes, sets = [], []
+            held = key
+            nodes.append(node)
+            sets.append(np.frombuffer(raw, np.uint64))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "component"])
+    if nodes:
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in decided()], ["node", "component"])
+
+
 def linked_classes(prints: DataFrame, similar: bool = False) -> DataFrame:
     """node, component for nodes linked to a smaller one.  ``prints`` has node and print (bytes),
-    one row for each print."""
+    one row for each print.  With ``similar`` these are candidates, and ``prints`` has keys as well."""
     arrow_batches(prints.sparkSession, rows=20_000)
     octet = lambda i, n: F.conv(F.hex(F.substring("print", i + 1, n)), 16, 10).cast("int")
     if similar:
@@ -196,32 +294,73 @@ def linked_classes(prints: DataFrame, similar: bool = False) -> DataFrame:
         keys = [F.lit(k << 16) + octet(2 * k, 2) for k in range(4)]
     dealt = prints.select(F.explode(F.array(*keys)).alias("key"), "print", "node").repartition("key").sortWithinPartitions("key")
     stars = dealt.mapInArrow(lambda b: _bucket_stars(b, words, bits, budget, limit), "u long, v long")
+    if similar:
+        met = prints.select(F.explode("keys").alias("key"), "node")
+        least = met.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("key")).alias("v"))
+        stars = stars.unionByName(least.where("u <> v"))
     return components(stars)
 
 
-def document_prints(docs: DataFrame, similar: bool = False, width: int | None = None) -> DataFrame:
+def document_prints(docs: DataFrame, width: int = 3) -> DataFrame:
     """doc_id and the fingerprint's bytes, lowest first."""
     arrow_batches(docs.sparkSession)
-    width = width or (SIMILAR_SHINGLE if similar else 3)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            got = [wide_fingerprint(t or "", width) if similar else majority(shingle_hashes(t or "", width)).tobytes() for t in texts]
+            got = [majority(shingle_hashes(t or "", width)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(got, pa.binary())], ["doc_id", "print"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print binary")
 
 
+def set_prints(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id, same (a 128-bit hash of the set of shingles), print and keys (of candidates)."""
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t or "", width)) for t in b.column(1).to_pylist()]
+            same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
+            keys = pa.array([candidate_keys(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), same, pa.array([wide_print(h) for h in sets], pa.binary()), keys], ["doc_id", "same", "print", "keys"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, print binary, keys array<long>")
+
+
 def near_duplicate_classes(docs: DataFrame, similar: bool = False, width: int | None = None) -> DataFrame:
     """doc_id, print, component_id for each row of ``docs``."""
-    prints = checkpointed(document_prints(docs, similar, width))
+    if similar:
+        return similar_classes(docs, width or SIMILAR_SHINGLE)
+    prints = checkpointed(document_prints(docs, width or 3))
     nodes = checkpointed(prints.groupBy("print").agg(F.min("doc_id").alias("node")))
-    classes = linked_classes(nodes.where("node is not null"), similar)
+    classes = linked_classes(nodes.where("node is not null"))
     named = nodes.join(classes, "node", "left").select(F.col("print").alias("of"), F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, prints["print"] == named["of"], "left").select("doc_id", "print", "component_id")
 
 
+def similar_classes(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
+    """doc_id, print, component_id for each row of ``docs``, of links by exact similarity of the sets."""
+    prints = checkpointed(set_prints(docs, width))
+    nodes = checkpointed(prints.groupBy("same").agg(F.min_by(F.struct("print", "keys", "doc_id"), "doc_id").alias("p")).select("same", F.col("p.print").alias("print"), F.col("p.keys").alias("keys"), F.col("p.doc_id").alias("node")).where("node is not null"))
+    linked = linked_classes(nodes, similar=True)
+    members = linked.unionByName(linked.select(F.col("component").alias("node"), "component")).distinct()
+    members = checkpointed(members.join(nodes.select("node", "same"), "node").select("node", F.col("component").alias("class"), "same"))
+    arrow_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in b.column(3).to_pylist()]
+            # another row of the same doc_id may have another text
+            own = pa.array([xxhash.xxh3_128_digest(h) == x for h, x in zip(sets, b.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["class", "node", "set"]).filter(own)
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
+    sets = texts.join(bounded(members, 300_000), "node").select("class", "node", "same", "text").mapInArrow(run, "class long, node long, set binary")
+    decided = checkpointed(sets.repartition("class").sortWithinPartitions("class", "node").mapInArrow(_similar_stars, "node long, component long"))
+    named = nodes.join(decided.groupBy("node").agg(F.min("component").alias("component")), "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("component_id"))
+    return prints.join(named, prints["same"] == named["of"], "left").select("doc_id", "print", "component_id")
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """One document of each class of similar documents, that with the smallest doc_id, with all columns.
 

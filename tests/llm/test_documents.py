@@ -93,6 +93,33 @@ def test_similar_documents(spark, docs, no_docs):
     assert simhash.keep_representatives(no_docs).count() == 0
 
 
+def exact_components(texts):
+    """The first text of each one's component, linked at a similarity of 0.8 of five-word shingle sets."""
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    comp = np.arange(len(sets))
+    links = [(i, j) for j in range(len(sets)) for i in range(j) if len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4 and sets[i] and sets[j]]
+    return simhash._connect(comp, *np.array(links).T).tolist()
+
+
+def test_similarity_decides_links(spark):
+    """Pairs on both sides of 0.8, also of short sets; what the fingerprints say doesn't count."""
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for n in [8, 9, 12, 14, 20, 23, 24, 27, *[rng.randrange(30, 400) for _ in range(40)]]:
+        base = [rng.choice(words) for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in (0.05, 0.08, 0.1, 0.11, 0.12, 0.15, 0.2):  # one run that's other, J = (1 - s) / (1 + s) or so
+            v = list(base)
+            k = max(1, round((n - 4) * share))
+            v[n - k :] = [f"edit{rng.random()}" for _ in range(k)]
+            texts.append(" ".join(v))
+        texts.append(" ".join(base[: -max(1, round((n - 4) * 0.2))]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df, similar=True).collect()}
+    assert got == dict(enumerate(exact_components(texts)))
+
+
 def test_repeated_ids_count_once(spark):
     df = spark.createDataFrame([(1, "x y z"), (1, "x y z"), (2, "other text here now")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in simhash.keep_representatives(df).collect()) == [1, 2]
