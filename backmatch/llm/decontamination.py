@@ -7,7 +7,8 @@ of every text are looked up.  A document contains an item when at least
 ``COVERED`` of the item's tokens lie in common windows.  If the item has
 placeholders, their values are compared as well: the document must replace
 each value of the item by one value of its own throughout (the same question
-with other parameters), or use the item's own.
+with other parameters), or use the item's own.  Every place of a document with
+enough windows is compared, and one that agrees is enough.
 
 Window hashes are built by doubling, so a window costs three hashes whatever
 its width.  The benchmark's windows are broadcast while their counted number
@@ -80,6 +81,26 @@ def _item_windows(items: DataFrame, width: int) -> DataFrame:
     return got.where(literal >= LITERAL * width / WINDOW).select("item_id", F.col("at").alias("ipos"), "hash")
 
 
+def _tokens_of(at: Column) -> Column:
+    """The item's token positions in the windows ``at``."""
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + F.col("width") - 1))))
+
+
+def _enough(at: Column) -> Column:
+    """Whether the windows ``at`` of the item are enough of it."""
+    half = F.size(_tokens_of(at)) / F.col("n") >= COVERED
+    return F.when(F.col("n") >= WINDOW, half).otherwise(F.size(at) == F.col("n") - SHORT + 1)
+
+
+def _spans() -> Column:
+    """Where the document may contain the item, offset and the tokens from lo to before hi whose values
+    count: each offset with enough windows, or, where only all offsets together have enough, the most frequent ones."""
+    good = F.filter("places", lambda p: _enough(p["at"]))
+    most = F.array_max(F.transform("places", lambda p: F.size(p["at"])))
+    together = F.when(_enough(F.col("at")), F.filter("places", lambda p: F.size(p["at"]) == most)).otherwise(F.slice("places", 1, 0))
+    return F.transform(F.when(F.size(good) > 0, good).otherwise(together), lambda p: F.struct(p["offset"].cast("int").alias("offset"), F.lit(0).alias("lo"), F.col("n").alias("hi")))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
     items = checkpointed(benchmark.where(F.col("text").isNotNull()).select("item_id", template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values")).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT))
@@ -93,12 +114,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = windows(texts, width, "doc_id").join(own, "hash").select("doc_id", "item_id", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), F.lit(width).alias("width"))
         found = hits if found is None else found.unionByName(hits)
     hits = checkpointed(found.distinct())
-    sets = hits.groupBy("doc_id", "item_id").agg(F.collect_set("ipos").alias("at"), F.max("width").alias("width"), F.count("*").alias("n_windows"), F.mode("offset", True).alias("offset"))
-    tokens = F.size(F.array_distinct(F.flatten(F.transform("at", lambda i: F.sequence(i, i + F.col("width") - 1)))))
-    slots = F.size(F.filter("tokens", lambda t: t.isin(*SLOTS)))
-    pairs = sets.join(bounded(items.select("item_id", "n", "tokens", "values"), 50_000), "item_id")
-    pairs = pairs.withColumn("covered", tokens / F.col("n")).withColumn("slots", slots)
-    pairs = checkpointed(pairs.where((F.col("covered") >= COVERED) & ((F.col("n") >= WINDOW) | (F.size("at") == F.col("n") - SHORT + 1))))
+    places = hits.groupBy("doc_id", "item_id", "offset").agg(F.collect_set("ipos").alias("at"), F.max("width").alias("width"))
+    pairs = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("offset", "at")).alias("places"), F.max("width").alias("width"), F.sum(F.size("at")).alias("n_windows"))
+    pairs = pairs.join(bounded(items.select("item_id", "n", "tokens", "values"), 50_000), "item_id").withColumn("at", F.array_distinct(F.flatten("places.at")))
+    pairs = pairs.withColumn("covered", F.size(_tokens_of(F.col("at"))) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
+    pairs = checkpointed(pairs.withColumn("spans", _spans()).where(F.size("spans") > 0).drop("places", "at"))
     plain = pairs.where("slots = 0").select("doc_id", "item_id", "covered", "n_windows", "slots", F.lit(True).alias("same_values"))
     with_slots = pairs.where("slots > 0")
     if with_slots.isEmpty():
@@ -114,10 +134,11 @@ def _value(tokens: Column, values: Column, at: Column) -> Column:
 
 
 def _consistent(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Those pairs whose slots agree: one value of the document for each of the item's."""
+    """Those pairs whose slots agree in one of the spans: one value of the document for each of the item's."""
+    pairs = pairs.select("*", F.explode("spans").alias("span")).select("*", "span.*")
     ids = checkpointed(pairs.select("doc_id").distinct())
     own = docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("dt"), slot_values(F.col("text")).alias("dv"))
-    at = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + F.col("offset")), F.lit(""))))
+    at = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + F.col("offset")), F.lit(""))))
     got = pairs.join(own, "doc_id").select("doc_id", "item_id", "covered", "n_windows", "slots", "tokens", "values", "dt", "dv", "offset", at.alias("where"))
     value = F.transform("where", lambda i: F.struct(_value(F.col("tokens"), F.col("values"), i).alias("item"), _value(F.col("dt"), F.col("dv"), i + F.col("offset")).alias("doc")))
     got = got.withColumn("value", F.array_distinct(value))

@@ -270,6 +270,21 @@ def test_reparameterised_questions(spark, no_docs):
     assert decontamination.contamination(df, bench.limit(0)).count() == 0
 
 
+PAD = " ".join(f"filler{chr(97 + i % 26)}" for i in range(60))
+
+
+def found(spark, docs, items):
+    """Indexes of (document, item) pairs."""
+    df, bench = (spark.createDataFrame(list(enumerate(x)), f"{k} bigint, text string") for x, k in ((docs, "doc_id"), (items, "item_id")))
+    return {(r["doc_id"], r["item_id"]): r["same_values"] for r in decontamination.contamination(df, bench).collect()}
+
+
+def test_every_place_is_compared(spark):
+    q = question("Alice", 12)
+    other = q.replace("12 km again", "99 km again")
+    assert found(spark, [f"{PAD}. {other} {PAD}. {q} {PAD}", f"{PAD}. {q} {PAD}. {other} {PAD}", f"{PAD}. {other} {PAD}. {other} {PAD}"], [q]) == {(0, 0): True, (1, 0): True}
+
+
 # -- quality
 
 
