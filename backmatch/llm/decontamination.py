@@ -4,7 +4,8 @@ Texts become templates: names, numbers and units are replaced by typed
 placeholders, case and punctuation dropped.  Windows of ``WINDOW`` template
 tokens are hashed and joined with the windows of the benchmark; all windows
 of every text are looked up.  A document contains an item when at least
-``COVERED`` of the item's tokens lie in common windows.  If the item has
+``COVERED`` of the item's tokens lie in common windows, or a passage of at
+least ``PASSAGE`` tokens running, whatever share of the item that is.  If the item has
 placeholders, their values are compared as well: the document must replace
 each value of the item by one value of its own throughout (the same question
 with other parameters), or use the item's own.  Every place of a document with
@@ -30,6 +31,8 @@ from .common import bounded, checkpointed, drop_ids, table
 
 WINDOW, SHORT = 8, 4
 COVERED = 0.5
+#: Tokens running of an item that are enough whatever share of it they are.
+PASSAGE = 13
 #: Tokens of a window of the benchmark that are no placeholders, at least, of WINDOW.
 LITERAL = 4
 BROADCAST_WINDOWS = 500_000
@@ -92,13 +95,27 @@ def _enough(at: Column) -> Column:
     return F.when(F.col("n") >= WINDOW, half).otherwise(F.size(at) == F.col("n") - SHORT + 1)
 
 
+def _span(offset: Column, lo: Column, hi: Column) -> Column:
+    return F.struct(offset.cast("int").alias("offset"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+
+def _passages(offset: Column, at: Column) -> Column:
+    """The spans of at least ``PASSAGE`` tokens that windows one after the other make."""
+    first = F.array_sort(F.filter(at, lambda i: ~F.array_contains(at, i - 1)))
+    last = F.array_sort(F.filter(at, lambda i: ~F.array_contains(at, i + 1)))
+    runs = F.zip_with(first, last, lambda a, b: _span(offset, a, b + F.col("width")))
+    return F.filter(runs, lambda r: r["hi"] - r["lo"] >= PASSAGE)
+
+
 def _spans() -> Column:
     """Where the document may contain the item, offset and the tokens from lo to before hi whose values
-    count: each offset with enough windows, or, where only all offsets together have enough, the most frequent ones."""
+    count: each offset with enough windows, or, where only all offsets together have enough, the most frequent ones,
+    and each long passage."""
     good = F.filter("places", lambda p: _enough(p["at"]))
     most = F.array_max(F.transform("places", lambda p: F.size(p["at"])))
     together = F.when(_enough(F.col("at")), F.filter("places", lambda p: F.size(p["at"]) == most)).otherwise(F.slice("places", 1, 0))
-    return F.transform(F.when(F.size(good) > 0, good).otherwise(together), lambda p: F.struct(p["offset"].cast("int").alias("offset"), F.lit(0).alias("lo"), F.col("n").alias("hi")))
+    whole = F.transform(F.when(F.size(good) > 0, good).otherwise(together), lambda p: _span(p["offset"], F.lit(0), F.col("n")))
+    return F.concat(whole, F.flatten(F.transform("places", lambda p: _passages(p["offset"], p["at"]))))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

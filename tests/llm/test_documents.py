@@ -285,6 +285,16 @@ def test_every_place_is_compared(spark):
     assert found(spark, [f"{PAD}. {other} {PAD}. {q} {PAD}", f"{PAD}. {q} {PAD}. {other} {PAD}", f"{PAD}. {other} {PAD}. {other} {PAD}"], [q]) == {(0, 0): True, (1, 0): True}
 
 
+def test_long_passages_are_found(spark):
+    """13 tokens running are enough, 12 of a long item aren't; values outside of them don't count."""
+    item = " ".join(f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(59)).split()
+    slotted = [*item[:20], "12", *item[20:40], "12", *item[40:]]
+    docs = [f"{PAD} {' '.join(w)} {PAD}" for w in (item[7:20], item[7:19], item[20:49], [*item[:7], "x", *item[8:15]])]
+    assert found(spark, docs, [" ".join(item)]) == {(0, 0): True, (2, 0): True}
+    near = " ".join([*slotted[14:27], *["other"] * 14, "99"])  # 12 inside, another number where the item has 12 again
+    assert found(spark, [f"{PAD} {near} {PAD}"], [" ".join(slotted)]) == {(0, 0): True}
+
+
 # -- quality
 
 
