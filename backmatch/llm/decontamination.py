@@ -39,25 +39,33 @@ BROADCAST_WINDOWS = 500_000
 
 #: Units that count after a number.
 UNITS = "km|kg|cm|mm|mg|ml|m|g|l|miles?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|percent|%|€|°C|°F"
-NAME = r"(?<=[\p{Ll},;]\x20)\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)*+"
+NAME = r"(?<=[\p{Ll},;]\uE001?\x20)\p{Lu}\p{Ll}++(?:\x20\p{Lu}\p{Ll}++)*+"
 NUMBER = r"[0-9]++(?:[.,][0-9]++)*+"
 UNIT = rf"(?<=[0-9]\x20?)(?:{UNITS})(?![\p{{L}}\p{{N}}])"
 #: Placeholders begin with a digit, which no other token does once numbers are replaced.
 SLOTS = {"0unit": UNIT, "0number": NUMBER, "0name": NAME}
+#: A value is marked by a character before its kind and one behind it, none of which is left in the text itself.
+OPEN, CLOSE = "\uE000", "\uE001"
+KINDS = {"u": "0unit", "n": "0number", "p": "0name"}
 
 
-def template(text: Column) -> Column:
-    """The template tokens of a text."""
-    t = F.coalesce(text, F.lit(""))
-    t = F.when(t.rlike("[0-9]"), F.regexp_replace(F.regexp_replace(t, UNIT, " 0unit "), rf"{NUMBER}(?!unit )", " 0number ")).otherwise(t)
-    t = F.lower(F.regexp_replace(t, NAME, " 0name "))
-    return F.array_remove(F.split(t, r"[^\p{L}\p{N}]+"), "")
+def values_of(text: Column) -> Column:
+    """The template tokens of a text, with the marked value in place of a placeholder."""
+    put = lambda t, k, p: F.regexp_replace(t, p, f"{OPEN}{k}$0{CLOSE}")
+    t = F.translate(F.coalesce(text, F.lit("")), OPEN + CLOSE, "  ")
+    t = F.when(t.rlike("[0-9]"), put(put(t, "u", UNIT), "n", NUMBER)).otherwise(t)
+    return F.regexp_extract_all(F.lower(put(t, "p", NAME)), F.lit(rf"{OPEN}[^{CLOSE}]*+{CLOSE}|[\p{{L}}\p{{N}}]++"), F.lit(0))
+
+
+def placeholders(values: Column) -> Column:
+    """The template tokens of those of ``values_of``."""
+    kinds = F.create_map(*(F.lit(x) for k, v in KINDS.items() for x in (OPEN + k, v)))
+    return F.transform(values, lambda v: F.when(v.startswith(OPEN), F.element_at(kinds, F.substring(v, 1, 2))).otherwise(v))
 
 
-def slot_values(text: Column) -> Column:
-    """The surface forms behind the placeholders, by kind and in order."""
-    t = F.coalesce(text, F.lit(""))
-    return F.create_map(*(x for k, p in SLOTS.items() for x in (F.lit(k), F.regexp_extract_all(t, F.lit(p), F.lit(0)))))
+def template(text: Column) -> Column:
+    """The template tokens of a text."""
+    return placeholders(values_of(text))
 
 
 def _doubled(h: Column, by: int) -> Column:
@@ -120,7 +128,7 @@ def _spans() -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
-    items = checkpointed(benchmark.where(F.col("text").isNotNull()).select("item_id", template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values")).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT))
+    items = checkpointed(benchmark.where(F.col("text").isNotNull()).select("item_id", values_of(F.col("text")).alias("values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT))
     parts = [(WINDOW, items.where(F.col("n") >= WINDOW))]
     if not items.where(F.col("n") < WINDOW).isEmpty():
         parts.append((SHORT, items.where(F.col("n") < WINDOW)))
@@ -143,21 +151,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return plain.unionByName(_consistent(docs, with_slots))
 
 
-def _value(tokens: Column, values: Column, at: Column) -> Column:
-    """The surface form behind the placeholder at position ``at`` (from 0) of the tokens."""
-    kind = F.get(tokens, at)
-    rank = F.size(F.filter(F.slice(tokens, F.lit(1), at + 1), lambda t: t == kind))
-    return F.get(F.element_at(values, kind), rank - 1)
-
-
 def _consistent(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those pairs whose slots agree in one of the spans: one value of the document for each of the item's."""
     pairs = pairs.select("*", F.explode("spans").alias("span")).select("*", "span.*")
     ids = checkpointed(pairs.select("doc_id").distinct())
-    own = docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", template(F.col("text")).alias("dt"), slot_values(F.col("text")).alias("dv"))
+    own = docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", values_of(F.col("text")).alias("dv")).withColumn("dt", placeholders(F.col("dv")))
     at = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + F.col("offset")), F.lit(""))))
     got = pairs.join(own, "doc_id").select("doc_id", "item_id", "covered", "n_windows", "slots", "tokens", "values", "dt", "dv", "offset", at.alias("where"))
-    value = F.transform("where", lambda i: F.struct(_value(F.col("tokens"), F.col("values"), i).alias("item"), _value(F.col("dt"), F.col("dv"), i + F.col("offset")).alias("doc")))
+    value = F.transform("where", lambda i: F.struct(F.get("values", i).alias("item"), F.get("dv", i + F.col("offset")).alias("doc")))
     got = got.withColumn("value", F.array_distinct(value))
     firsts = F.size(F.array_distinct(F.transform("value", lambda v: v["item"])))
     same = F.forall("value", lambda v: v["item"].eqNullSafe(v["doc"]))

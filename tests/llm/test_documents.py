@@ -295,6 +295,12 @@ def test_long_passages_are_found(spark):
     assert found(spark, [f"{PAD} {near} {PAD}"], [" ".join(slotted)]) == {(0, 0): True}
 
 
+def test_names_after_units(spark):
+    """A name behind a unit doesn't shift the values of the names further on."""
+    item = "In the yard stood Alice with a ladder while Bob painted the fence, then Bob went home and Alice cleaned the brushes with care"
+    assert found(spark, [f"{PAD} for 3 hours Carol drove 5 km Berlin was far {PAD}. {item} {PAD}"], [item]) == {(0, 0): True}
+
+
 # -- quality
 
 
