@@ -11,6 +11,12 @@ each value of the item by one value of its own throughout (the same question
 with other parameters), or use the item's own.  Every place of a document with
 enough windows is compared, and one that agrees is enough.
 
+A window with few tokens that are no placeholders (under ``LITERAL``) stands
+for the same values only.  The same one with other values counts where the
+whole item is there and has at least ``LITERAL_ITEM`` such tokens, so a
+question of numbers alone is found verbatim or with other parameters, while
+rows of numbers are found verbatim only.
+
 Window hashes are built by doubling, so a window costs three hashes whatever
 its width.  The benchmark's windows are broadcast while their counted number
 is at most ``BROADCAST_WINDOWS``; beyond it the join shuffles.
@@ -33,8 +39,10 @@ WINDOW, SHORT = 8, 4
 COVERED = 0.5
 #: Tokens running of an item that are enough whatever share of it they are.
 PASSAGE = 13
-#: Tokens of a window of the benchmark that are no placeholders, at least, of WINDOW.
+#: Tokens of a window that are no placeholders, at least, of WINDOW, for its placeholders alone to stand for it.
 LITERAL = 4
+#: Tokens of an item that are no placeholders, at least, for it to be found as a whole by windows with fewer.
+LITERAL_ITEM = 2
 BROADCAST_WINDOWS = 500_000
 
 #: Units that count after a number.
@@ -68,28 +76,38 @@ def template(text: Column) -> Column:
     return placeholders(values_of(text))
 
 
-def _doubled(h: Column, by: int) -> Column:
+STRONG, WEAK, VERBATIM = range(3)
+
+
+def _doubled(h: Column, by: int, add=F.xxhash64) -> Column:
     """Hashes of windows twice as wide: each with the one ``by`` places on."""
     n = F.greatest(F.size(h) - by, F.lit(0))
-    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
+    return F.zip_with(F.slice(h, F.lit(1), n), F.slice(h, F.lit(by + 1), n), lambda a, b: add(a, b))
 
 
 def windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
-    """The columns ``keep``, and at, hash for each window of ``width`` (a power of two) of ``tokens``."""
-    rows = rows.select(*keep, F.transform("tokens", lambda t: F.xxhash64(t)).alias("h"))
+    """The columns ``keep``, and at, literal (tokens that are no placeholders), typed and verbatim (hashes with
+    placeholders and with their values) for each window of ``width`` (a power of two) of ``values``."""
+    rows = rows.select(*keep, F.transform(placeholders(F.col("values")), lambda t: F.xxhash64(t)).alias("typed"), F.transform("values", lambda v: F.xxhash64(v)).alias("verbatim"), F.transform("values", lambda v: (~v.startswith(OPEN)).cast("int")).alias("literal"))
     by = 1
     while by < width:
-        rows = rows.select(*keep, _doubled(F.col("h"), by).alias("h"))
+        rows = rows.select(*keep, *(_doubled(F.col(h), by).alias(h) for h in ("typed", "verbatim")), _doubled(F.col("literal"), by, lambda a, b: a + b).alias("literal"))
         by *= 2
     # outer, as an inner one adds a filter that computes all of this again
-    return rows.select(*keep, F.posexplode_outer("h").alias("at", "hash")).where("hash is not null")
+    return rows.select(*keep, F.posexplode_outer(F.arrays_zip("typed", "verbatim", "literal")).alias("at", "w")).where("w is not null").select(*keep, "at", "w.*")
+
+
+def _hashes(width: int) -> Column:
+    """The hashes that stand for a window, and kind: STRONG with placeholders, WEAK with too many of them for
+    that, VERBATIM with the values of a weak one."""
+    kind = lambda h, k: F.struct(F.col(h).alias("hash"), F.lit(k).alias("kind"))
+    enough = F.col("literal") >= LITERAL * width // WINDOW
+    return F.when(enough, F.array(kind("typed", STRONG))).when(F.col("literal") > 0, F.array(kind("typed", WEAK), kind("verbatim", VERBATIM))).otherwise(F.array(kind("verbatim", VERBATIM)))
 
 
 def _item_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, ipos, hash of windows with enough tokens that are no placeholders."""
-    got = windows(items, width, "item_id", "tokens").withColumn("own", F.slice("tokens", F.col("at") + 1, F.lit(width)))
-    literal = F.size(F.filter("own", lambda t: ~t.isin(*SLOTS)))
-    return got.where(literal >= LITERAL * width / WINDOW).select("item_id", F.col("at").alias("ipos"), "hash")
+    """item_id, ipos, hash, kind."""
+    return windows(items, width, "item_id").select("item_id", F.col("at").alias("ipos"), F.explode(_hashes(width)).alias("k")).select("item_id", "ipos", "k.*")
 
 
 def _tokens_of(at: Column) -> Column:
@@ -115,11 +133,16 @@ def _passages(offset: Column, at: Column) -> Column:
     return F.filter(runs, lambda r: r["hi"] - r["lo"] >= PASSAGE)
 
 
+def _whole(place: Column) -> Column:
+    """Whether all windows of the item with a literal token are at this place, whatever the values."""
+    return F.coalesce(F.size(place["typed"]) == F.col("n_open"), F.lit(False))
+
+
 def _spans() -> Column:
     """Where the document may contain the item, offset and the tokens from lo to before hi whose values
-    count: each offset with enough windows, or, where only all offsets together have enough, the most frequent ones,
+    count: each offset with enough windows or the whole item, or, where only all offsets together have enough, the most frequent ones,
     and each long passage."""
-    good = F.filter("places", lambda p: _enough(p["at"]))
+    good = F.filter("places", lambda p: _enough(p["at"]) | _whole(p))
     most = F.array_max(F.transform("places", lambda p: F.size(p["at"])))
     together = F.when(_enough(F.col("at")), F.filter("places", lambda p: F.size(p["at"]) == most)).otherwise(F.slice("places", 1, 0))
     whole = F.transform(F.when(F.size(good) > 0, good).otherwise(together), lambda p: _span(p["offset"], F.lit(0), F.col("n")))
@@ -128,20 +151,28 @@ def _spans() -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
-    items = checkpointed(benchmark.where(F.col("text").isNotNull()).select("item_id", values_of(F.col("text")).alias("values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT))
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", values_of(F.col("text")).alias("values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT)
+    wide = F.when(F.col("n") >= WINDOW, WINDOW).otherwise(SHORT)
+    literal = lambda tokens: F.size(F.filter(tokens, lambda t: ~t.isin(*SLOTS)))
+    open_ = F.filter(F.sequence(F.lit(0), F.col("n") - wide), lambda i: literal(F.slice("tokens", i + 1, wide)) > 0)
+    items = checkpointed(items.withColumn("n_open", F.when(literal(F.col("tokens")) >= LITERAL_ITEM, F.size(open_))))
     parts = [(WINDOW, items.where(F.col("n") >= WINDOW))]
     if not items.where(F.col("n") < WINDOW).isEmpty():
         parts.append((SHORT, items.where(F.col("n") < WINDOW)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), template(F.col("text")).alias("tokens"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), values_of(F.col("text")).alias("values"))
     found = None
     for width, some in parts:
         own = bounded(checkpointed(_item_windows(some, width)), BROADCAST_WINDOWS)
-        hits = windows(texts, width, "doc_id").join(own, "hash").select("doc_id", "item_id", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), F.lit(width).alias("width"))
+        looked = windows(texts, width, "doc_id").select("doc_id", "at", F.explode(_hashes(width)["hash"]).alias("hash"))
+        hits = looked.join(own, "hash").select("doc_id", "item_id", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), "kind", F.lit(width).alias("width"))
         found = hits if found is None else found.unionByName(hits)
     hits = checkpointed(found.distinct())
-    places = hits.groupBy("doc_id", "item_id", "offset").agg(F.collect_set("ipos").alias("at"), F.max("width").alias("width"))
-    pairs = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("offset", "at")).alias("places"), F.max("width").alias("width"), F.sum(F.size("at")).alias("n_windows"))
-    pairs = pairs.join(bounded(items.select("item_id", "n", "tokens", "values"), 50_000), "item_id").withColumn("at", F.array_distinct(F.flatten("places.at")))
+    of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("ipos")))
+    places = hits.groupBy("doc_id", "item_id", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
+    pairs = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
+    pairs = pairs.join(bounded(items, 50_000), "item_id")
+    every = F.sequence(F.lit(0), F.col("n") - F.col("width"))
+    pairs = pairs.withColumn("at", F.when(F.exists("places", _whole), every).otherwise(F.array_distinct(F.flatten("places.at"))))
     pairs = pairs.withColumn("covered", F.size(_tokens_of(F.col("at"))) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
     pairs = checkpointed(pairs.withColumn("spans", _spans()).where(F.size("spans") > 0).drop("places", "at"))
     plain = pairs.where("slots = 0").select("doc_id", "item_id", "covered", "n_windows", "slots", F.lit(True).alias("same_values"))

@@ -301,6 +301,13 @@ def test_names_after_units(spark):
     assert found(spark, [f"{PAD} for 3 hours Carol drove 5 km Berlin was far {PAD}. {item} {PAD}"], [item]) == {(0, 0): True}
 
 
+def test_items_of_numbers_and_units(spark):
+    """Found verbatim and with other parameters; rows of numbers verbatim only."""
+    items = ["Is 12 + 30 + 7 + 9 equal to 58?", "Convert 5 km to 3 m", "11 12 13 14 15 16 17 18 19 20"]
+    docs = [f"{PAD}. {t} {PAD}" for t in (*items, "Is 1 + 2 + 3 + 4 equal to 10?", "Convert 8 miles to 2 cm", "21 22 23 24 25 26 27 28 29 30", "Is 5 + 5 + 6 + 7 equal to 23 or 1 2 3 4 5 km")]
+    assert found(spark, docs, items) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 0): False, (4, 1): False, (6, 0): False}
+
+
 # -- quality
 
 
