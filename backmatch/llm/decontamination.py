@@ -15,7 +15,8 @@ A window with few tokens that are no placeholders (under ``LITERAL``) stands
 for the same values only.  The same one with other values counts where the
 whole item is there and has at least ``LITERAL_ITEM`` such tokens, so a
 question of numbers alone is found verbatim or with other parameters, while
-rows of numbers are found verbatim only.
+rows of numbers are found verbatim only.  A capitalised word is a name behind
+other text only, so an item is looked up in both forms of its first word.
 
 Window hashes are built by doubling, so a window costs three hashes whatever
 its width.  The benchmark's windows are broadcast while their counted number
@@ -79,6 +80,13 @@ def template(text: Column) -> Column:
 STRONG, WEAK, VERBATIM = range(3)
 
 
+def _forms(text: Column) -> Column:
+    """The tokens of an item that stands alone and, if they differ, of one behind other text, where a
+    capitalised first word is a name."""
+    inside = values_of(F.concat(F.lit("a "), F.regexp_replace(text, r"^\s+", "")))
+    return F.array_distinct(F.array(values_of(text), F.slice(inside, F.lit(2), F.size(inside))))
+
+
 def _doubled(h: Column, by: int, add=F.xxhash64) -> Column:
     """Hashes of windows twice as wide: each with the one ``by`` places on."""
     n = F.greatest(F.size(h) - by, F.lit(0))
@@ -106,8 +114,8 @@ def _hashes(width: int) -> Column:
 
 
 def _item_windows(items: DataFrame, width: int) -> DataFrame:
-    """item_id, ipos, hash, kind."""
-    return windows(items, width, "item_id").select("item_id", F.col("at").alias("ipos"), F.explode(_hashes(width)).alias("k")).select("item_id", "ipos", "k.*")
+    """item_id, form, ipos, hash, kind."""
+    return windows(items, width, "item_id", "form").select("item_id", "form", F.col("at").alias("ipos"), F.explode(_hashes(width)).alias("k")).select("item_id", "form", "ipos", "k.*")
 
 
 def _tokens_of(at: Column) -> Column:
@@ -151,7 +159,7 @@ def _spans() -> Column:
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", values_of(F.col("text")).alias("values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT)
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.posexplode(_forms(F.col("text"))).alias("form", "values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT)
     wide = F.when(F.col("n") >= WINDOW, WINDOW).otherwise(SHORT)
     literal = lambda tokens: F.size(F.filter(tokens, lambda t: ~t.isin(*SLOTS)))
     open_ = F.filter(F.sequence(F.lit(0), F.col("n") - wide), lambda i: literal(F.slice("tokens", i + 1, wide)) > 0)
@@ -164,22 +172,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for width, some in parts:
         own = bounded(checkpointed(_item_windows(some, width)), BROADCAST_WINDOWS)
         looked = windows(texts, width, "doc_id").select("doc_id", "at", F.explode(_hashes(width)["hash"]).alias("hash"))
-        hits = looked.join(own, "hash").select("doc_id", "item_id", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), "kind", F.lit(width).alias("width"))
+        hits = looked.join(own, "hash").select("doc_id", "item_id", "form", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), "kind", F.lit(width).alias("width"))
         found = hits if found is None else found.unionByName(hits)
     hits = checkpointed(found.distinct())
     of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("ipos")))
-    places = hits.groupBy("doc_id", "item_id", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
-    pairs = places.groupBy("doc_id", "item_id").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
-    pairs = pairs.join(bounded(items, 50_000), "item_id")
+    places = hits.groupBy("doc_id", "item_id", "form", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
+    pairs = places.groupBy("doc_id", "item_id", "form").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
+    pairs = pairs.join(bounded(items, 50_000), ["item_id", "form"])
     every = F.sequence(F.lit(0), F.col("n") - F.col("width"))
     pairs = pairs.withColumn("at", F.when(F.exists("places", _whole), every).otherwise(F.array_distinct(F.flatten("places.at"))))
     pairs = pairs.withColumn("covered", F.size(_tokens_of(F.col("at"))) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
     pairs = checkpointed(pairs.withColumn("spans", _spans()).where(F.size("spans") > 0).drop("places", "at"))
     plain = pairs.where("slots = 0").select("doc_id", "item_id", "covered", "n_windows", "slots", F.lit(True).alias("same_values"))
     with_slots = pairs.where("slots > 0")
-    if with_slots.isEmpty():
-        return plain
-    return plain.unionByName(_consistent(docs, with_slots))
+    got = plain if with_slots.isEmpty() else plain.unionByName(_consistent(docs, with_slots))
+    return got.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("covered", "n_windows", "slots", "same_values")))
 
 
 def _consistent(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,8 +200,7 @@ def _consistent(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     got = got.withColumn("value", F.array_distinct(value))
     firsts = F.size(F.array_distinct(F.transform("value", lambda v: v["item"])))
     same = F.forall("value", lambda v: v["item"].eqNullSafe(v["doc"]))
-    got = got.where((F.size("value") == firsts) | same).select("doc_id", "item_id", "covered", "n_windows", "slots", same.alias("same_values"))
-    return got.groupBy("doc_id", "item_id").agg(F.max("covered").alias("covered"), F.max("n_windows").alias("n_windows"), F.max("slots").alias("slots"), F.max("same_values").alias("same_values"))
+    return got.where((F.size("value") == firsts) | same).select("doc_id", "item_id", "covered", "n_windows", "slots", same.alias("same_values"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

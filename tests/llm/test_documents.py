@@ -308,6 +308,12 @@ def test_items_of_numbers_and_units(spark):
     assert found(spark, docs, items) == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 0): False, (4, 1): False, (6, 0): False}
 
 
+def test_capitalised_items_inside_a_sentence(spark):
+    items = ["Which ocean is the deepest of them all?", "Which river is longest?", "New York has how many bridges over the water?"]
+    docs = [f"{PAD}{before}{t} {PAD}" for t in items for before in (" the page says ", ". ", ' says "')]
+    assert found(spark, docs + items, items) == {(i, k): True for k in range(3) for i in (3 * k, 3 * k + 1, 3 * k + 2, 9 + k)}
+
+
 # -- quality
 
 
