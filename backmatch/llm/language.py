@@ -6,22 +6,27 @@ that occurs in the sample: the automaton is followed as far as it goes, then
 a new phrase begins.  The language that needs the fewest phrases for each
 letter wins.
 
-The automaton becomes a table of next states that starts anew where no
-transition exists, so parsing is one table look-up for each character; a
-worker steps through many segments at once.  Texts are parsed whole, in
-segments of ``SEGMENT`` characters; each segment begins a new phrase in every
-language alike.  Letters are folded to lower case and runs of anything else
-count as one gap.
-
-Sample: at most ``SAMPLE_DOCS`` documents of each language in the order of a
-hash of their ids, of each at most ``SAMPLE_CHARS / 8`` characters, and at most
-``SAMPLE_CHARS`` characters in all.  Only labelled rows of the learning folds
-are used.
+The automaton's transitions are packed into one array by displacing its rows
+(each state has an offset, and a place remembers whose it is), so its size is
+the number of transitions and not states times letters; parsing is a look-up
+for each character that starts anew where no transition exists.  A worker
+steps through many segments at once.  Texts are parsed whole, in segments of
+``SEGMENT`` characters; each segment begins a new phrase in every language
+alike.  Letters are folded to lower case and runs of anything else count as
+one gap.
+
+Sample: of each language ``SAMPLE_DOCS`` different (doc_id, text) at most, in
+the order of a hash of them, and of these whole texts while they have
+``SAMPLE_CHARS`` characters together at most.  Texts longer than
+``SAMPLE_TEXT`` characters come last and are cut to that, so they only serve
+languages that have too few others.  The ``LANGUAGES`` languages with the most
+rows are learned.  Only labelled rows of the learning folds are used.
 
 Defined results: a null text or one without a letter is ``und`` with score
 0; with nothing to learn from every text is ``und``; equal phrase counts are
-decided by the smaller language name; repeated rows are each answered; an
-empty table gives an empty result; extra columns are ignored.
+decided by the smaller language name; repeated rows are each answered, and in
+the sample they count once; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,8 @@ from pyspark.sql import functions as F
 from .common import arrow_batches, fold, table
 
 FOLDS, HELD_OUT = 4, 2
-SAMPLE_DOCS, SAMPLE_CHARS = 48, 24_000
+#: Bounds of what is learned from.
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TEXT, LANGUAGES = 48, 24_000, 4_000, 400
 SEGMENT = 1024
 #: Characters parsed in one go.
 AT_ONCE = 2_000_000
@@ -47,12 +53,10 @@ class Alphabet:
     """Classes of code points: 0 a gap, 1 a letter that no sample has, from 2 on the letters of the samples."""
 
     def __init__(self, samples: list[str]):
-        letters = sorted({c for s in samples for c in s.lower() if c.isalpha() and len(c) == 1})
-        self.table = np.zeros(0x110000, np.uint16)
-        self.table[[i for i in range(0x30000) if chr(i).isalpha()]] = 1
+        letters = sorted({c for s in samples for c in s.lower() if c.isalpha()})
+        self.table = np.fromiter(map(str.isalpha, map(chr, range(0x110000))), np.int32, 0x110000)
         for k, c in enumerate(letters, 2):
-            self.table[ord(c)] = k
-            for v in {c.upper(), c.title()}:
+            for v in {c, c.upper(), c.title()}:
                 if len(v) == 1:
                     self.table[ord(v)] = k
         self.size = len(letters) + 2
@@ -65,11 +69,8 @@ class Alphabet:
         return x[keep]
 
 
-def automaton(codes: list[int], size: int) -> np.ndarray:
-    """The table of a suffix automaton: next state * 2, plus 1 where a new phrase begins.
-
-    The usual online construction; state 0 is the root.
-    """
+def automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of each state of a suffix automaton, by the usual online construction; state 0 is the root."""
     link, length, step = [-1], [0], [{}]
     last = 0
     for c in codes:
@@ -95,21 +96,68 @@ def automaton(codes: list[int], size: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[now] = twin
         last = now
-    root = np.ones(size, np.int32)
-    for c, to in step[0].items():
-        root[c] = to * 2 + 1
-    out = np.tile(root, (len(link), 1))
-    for s, to in enumerate(step):
-        if s and to:
-            out[s, list(to)] = np.fromiter(to.values(), np.int32, len(to)) * 2
-    return out.reshape(-1)
+    return step
+
+
+class Packed:
+    """An automaton with its transitions in one array: that of state s by c is at ``offset[s] + c`` if ``owner`` there is s."""
+
+    def __init__(self, step: list[dict[int, int]], size: int):
+        self.root = np.zeros(size, np.int32)
+        self.root[list(step[0])] = list(step[0].values())
+        branching = sorted((s for s in range(1, len(step)) if len(step[s]) > 1), key=lambda s: -len(step[s]))
+        single = [s for s in range(1, len(step)) if len(step[s]) == 1]
+        room = sum(map(len, step)) + 2 * size + 64
+        taken = bytearray(2 * room)
+        places, lowest = {}, size  # the offset of each state; below ``lowest`` hardly anything is free
+        for s in branching:
+            cs = sorted(step[s])
+            gaps = [c - cs[0] for c in cs[1:]]
+            at, tries = lowest, 0
+            while True:
+                at = taken.find(0, at)
+                if not any(taken[at + g] for g in gaps):
+                    break
+                at += 1
+                tries += 1
+            if tries > 200:
+                lowest = taken.find(0, lowest + (at - lowest) // 2)
+            places[s] = at - cs[0]
+            for c in cs:
+                taken[places[s] + c] = 1
+            if at + 2 * size > len(taken):
+                taken.extend(bytes(len(taken)))
+        at = size
+        for s in single:
+            (c,) = step[s]
+            at = taken.find(0, at)
+            if at < 0:
+                at = len(taken)
+                taken.extend(bytes(len(taken)))
+            taken[at] = 1
+            places[s] = at - c
+        top = max(places.values(), default=0) + size
+        self.offset = np.zeros(len(step), np.int32)
+        self.owner = np.full(top + size, -1, np.int32)
+        self.to = np.zeros(top + size, np.int32)
+        for s, o in places.items():
+            self.offset[s] = o
+            for c, t in step[s].items():
+                self.owner[o + c] = s
+                self.to[o + c] = t
+
+    def next_of(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and where a new phrase begins."""
+        at = self.offset[state] + c
+        new = self.owner[at] != state
+        return np.where(new, self.root[c], self.to[at]), new
 
 
 class Parser:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.names = [name for name, _ in samples]
         self.alphabet = Alphabet([t for _, t in samples])
-        self.tables = [automaton(self.alphabet.codes(t).tolist(), self.alphabet.size) for _, t in samples]
+        self.tables = [Packed(automaton(self.alphabet.codes(t).tolist()), self.alphabet.size) for _, t in samples]
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Phrases for each text and language; characters for each text."""
@@ -138,15 +186,13 @@ class Parser:
         order = np.argsort(-size, kind="stable")
         of, first, size = of[order], first[order], size[order]
         active = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
-        width = self.alphabet.size
-        state = np.zeros((len(self.tables), len(first)), np.int64)
+        state = np.zeros((len(self.tables), len(first)), np.int32)
         count = np.zeros((len(self.tables), len(first)), np.int64)
         for k, m in enumerate(active):
             c = flat[first[:m] + k]
-            for t, next_of in enumerate(self.tables):
-                got = next_of[state[t, :m] * width + c]
-                count[t, :m] += got & 1
-                state[t, :m] = got >> 1
+            for t, own in enumerate(self.tables):
+                state[t, :m], new = own.next_of(state[t, :m], c)
+                count[t, :m] += new
         for t in range(len(self.tables)):
             out[:, t] += np.bincount(of, count[t], len(n)).astype(np.int64)
 
@@ -175,14 +221,20 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
 
 def sample(docs: DataFrame) -> tuple[tuple[str, str], ...]:
     """(language, text) in the order of the names, within the bounds above."""
-    learn = docs.where(F.col("lang").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = learn.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= SAMPLE_DOCS)
-    rows = learn.where(F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS // 8).alias("text")).join(F.broadcast(ids.select("doc_id", "lang", "k")), ["doc_id", "lang"])
-    held: dict[str, dict] = {}
-    for r in rows.collect():  # at most SAMPLE_DOCS short texts a language, but for repeated ids
-        held.setdefault(r["lang"], {}).setdefault((r["k"], r["text"]), None)
-    return tuple((lang, "\n".join(t for _, t in sorted(held[lang]))[:SAMPLE_CHARS]) for lang in sorted(held))
+    learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    learn = learn.select("lang", "doc_id", F.xxhash64("text").alias("hash"), (F.length("text") > SAMPLE_TEXT).alias("long"), "text")
+    rows = learn.drop("text")
+    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    # equal rows share a rank, so repeated ones neither fill the sample nor lengthen it
+    rank = F.dense_rank().over(Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id", "hash"))
+    ids = rows.join(F.broadcast(names), "lang").withColumn("k", rank).where(F.col("k") <= SAMPLE_DOCS).distinct()
+    found = learn.join(F.broadcast(ids), ["lang", "doc_id", "hash", "long"]).groupBy("lang", "k").agg(F.min(F.substring("text", 1, SAMPLE_TEXT)).alias("text"))
+    held: dict[str, list[str]] = {}
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["k"])):  # at most LANGUAGES * SAMPLE_DOCS short texts
+        own = held.setdefault(r["lang"], [])
+        if not own or sum(map(len, own)) + len(r["text"]) <= SAMPLE_CHARS:
+            own.append(r["text"])
+    return tuple((lang, "\n".join(own)) for lang, own in held.items())
 
 
 def identify_languages(docs: DataFrame, samples: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
