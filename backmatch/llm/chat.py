@@ -1,9 +1,11 @@
 """Operator 4, chat formatting by schema fingerprints, in SQL functions only.
 
-The fingerprint of a layout is a hash of its nested field paths.  It selects
-a declarative mapping to canonical turns (role, text): for a typed table the
-paths are those of its schema, for JSON records those of each record, so one
-table may hold many layouts.  Canonical turns are written with one template:
+The fingerprint of a layout is a hash of those of its nested field paths that
+some mapping knows, so further fields (ids, sources, scores) don't hide it.
+It selects a declarative mapping to canonical turns (role, text): for a typed
+table the paths are those of its schema, hashed once; for JSON records those
+of each record, so one table may hold many layouts.  Canonical turns are
+written with one template:
 
     <|turn|>ROLE<|text|>TEXT<|end|>
 
@@ -13,21 +15,25 @@ along.  The loss mask holds the ranges of the assistant's escaped texts.
 
 Defined results: null text or role is empty; rows with the same conversation
 and turn are ordered by role, then text, and repeated rows are turns of their
-own; a null conv_id is a conversation; a record whose layout is unknown or
-that isn't JSON gets a null array of turns; an empty table gives an empty
-result; extra columns are ignored.  A conversation is one row of the output,
-so its turns meet in one task.
+own; a null conv_id is a conversation; very long texts are written whole; a
+record whose layout is unknown or that isn't JSON gets a null array of turns;
+a table of unknown layout is an error; an empty table gives an empty result;
+extra columns are ignored, and one named like a result (layout, turns) is
+replaced by it.  A conversation is one row of the output, so its turns meet
+in one task.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, unused
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
 #: A control string is an opening character and one of these; that covers the template's own and other common ones.
@@ -52,15 +58,26 @@ def paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def record_layout(record: Column) -> Column:
-    """The nested field names of a JSON record, without the types of its values."""
-    shape = F.schema_of_variant(F.try_parse_json(record))
-    bare = F.regexp_replace(shape, r": (?!OBJECT|ARRAY)[A-Z_]+(?:\([0-9, ]+\))?", "")
-    return F.regexp_replace(bare, r"<(?:STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9, ]+\))>", "<>")
+def fingerprint(known: list[str]) -> int:
+    """The hash of paths that a mapping knows, in order; Spark's ``xxhash64`` of their text gives the same."""
+    h = xxhash.xxh64_intdigest(",".join(sorted(known)), 42)
+    return h - (h >> 63 << 64)
 
 
-def fingerprint(layout: Column) -> Column:
-    return F.xxhash64(layout)
+def record_paths(record: Column, known: list[str]) -> Column:
+    """Which of the ``known`` paths (``a`` or ``a[].b``) a JSON record has, in order; null if it is no JSON object."""
+    top = F.json_object_keys(record)
+    outer = sorted({p.partition("[].")[0] for p in known if "[]." in p})
+    lists = F.from_json(record, ", ".join(f"`{o}` array<string>" for o in outer)) if outer else None
+
+    def has(path: str) -> Column:
+        name, _, field = path.partition("[].")
+        got = F.array_contains(top, name)
+        if field:
+            got &= F.exists(lists[name], lambda x: F.array_contains(F.json_object_keys(x), field))
+        return F.when(got, path)
+
+    return F.when(top.isNotNull(), F.array_compact(F.array(*map(has, sorted(known)))))
 
 
 def _turn(role: Column, text: Column) -> Column:
@@ -80,10 +97,11 @@ def _pair(record: Column, asks: tuple[str, ...], answer: str) -> Column:
 
 @dataclass(frozen=True)
 class Mapping:
-    """A layout, given by an example record, and how it becomes turns."""
+    """A layout, given by its field paths, and how it becomes turns: for records a function of the
+    JSON, for tables with a row for each turn the columns conversation, order, role, text."""
 
     name: str
-    example: str
+    paths: tuple[str, ...]
     turns: object
 
 
@@ -96,41 +114,52 @@ def _usual_roles(turns: Column) -> Column:
 
 
 MAPPINGS = [
-    Mapping("messages", '{"messages":[{"role":"a","content":"b"}]}', lambda r: _each(r, "messages", "role", "content")),
-    Mapping("turns", '{"turns":[{"role":"a","text":"b"}]}', lambda r: _each(r, "turns", "role", "text")),
-    Mapping("shared", '{"conversations":[{"from":"a","value":"b"}]}', lambda r: _usual_roles(_each(r, "conversations", "from", "value"))),
-    Mapping("prompt-completion", '{"prompt":"a","completion":"b"}', lambda r: _pair(r, ("prompt",), "completion")),
-    Mapping("prompt-response", '{"prompt":"a","response":"b"}', lambda r: _pair(r, ("prompt",), "response")),
-    Mapping("instruction", '{"instruction":"a","output":"b"}', lambda r: _pair(r, ("instruction",), "output")),
-    Mapping("instruction-input", '{"instruction":"a","input":"b","output":"c"}', lambda r: _pair(r, ("instruction", "input"), "output")),
-    Mapping("question", '{"question":"a","answer":"b"}', lambda r: _pair(r, ("question",), "answer")),
+    Mapping("messages", ("messages[].role", "messages[].content"), lambda r: _each(r, "messages", "role", "content")),
+    Mapping("turns", ("turns[].role", "turns[].text"), lambda r: _each(r, "turns", "role", "text")),
+    Mapping("shared", ("conversations[].from", "conversations[].value"), lambda r: _usual_roles(_each(r, "conversations", "from", "value"))),
+    Mapping("prompt-completion", ("prompt", "completion"), lambda r: _pair(r, ("prompt",), "completion")),
+    Mapping("prompt-response", ("prompt", "response"), lambda r: _pair(r, ("prompt",), "response")),
+    Mapping("instruction", ("instruction", "output"), lambda r: _pair(r, ("instruction",), "output")),
+    Mapping("instruction-input", ("instruction", "input", "output"), lambda r: _pair(r, ("instruction", "input"), "output")),
+    Mapping("question", ("question", "answer"), lambda r: _pair(r, ("question",), "answer")),
+]
+ROW_MAPPINGS = [
+    Mapping("turn-rows", ("conv_id", "turn", "role", "text"), ("conv_id", "turn", "role", "text")),
+    Mapping("message-rows", ("conversation_id", "message_index", "role", "content"), ("conversation_id", "message_index", "role", "content")),
 ]
 
 
 def record_turns(records: DataFrame, record: str = "record", mappings: list[Mapping] | None = None) -> DataFrame:
     """``records`` with layout (fingerprint) and turns, the mapping chosen for each row by its fingerprint."""
     mappings = MAPPINGS if mappings is None else mappings
-    spark = records.sparkSession
-    known = spark.range(1).select(*(fingerprint(record_layout(F.lit(m.example))).alias(f"m{i}") for i, m in enumerate(mappings))).first()
-    layout = F.col("__layout")
+    known = sorted({p for m in mappings for p in m.paths})
+    (at,) = unused(records, "layout")
+    got = records.withColumn(at, F.xxhash64(F.array_join(record_paths(F.col(record), known), ",")))
     turns = F.lit(None).cast(TURNS)
-    for m, k in zip(mappings, known, strict=True):
-        turns = F.when(layout == k, m.turns(F.col(record)).cast(TURNS)).otherwise(turns)
-    got = records.withColumn("__layout", fingerprint(record_layout(F.col(record))))
-    return got.withColumn("turns", turns).withColumnRenamed("__layout", "layout")
+    for m in mappings:
+        turns = F.when(F.col(at) == fingerprint(list(m.paths)), m.turns(F.col(record)).cast(TURNS)).otherwise(turns)
+    kept = [c for c in records.columns if c.lower() not in ("layout", "turns")]
+    return got.select(*kept, F.col(at).alias("layout"), turns.alias("turns"))
 
 
-#: Typed layouts of a row for each turn, by the paths of the columns that matter: conversation, order, role, text.
-ROW_LAYOUTS = {("conv_id", "role", "text", "turn"): ("conv_id", "turn", "role", "text"), ("content", "conversation_id", "message_index", "role"): ("conversation_id", "message_index", "role", "content")}
+def table_fingerprint(rows: DataFrame, mappings: list[Mapping] | None = None) -> int:
+    """The fingerprint of a typed table's field paths."""
+    known = {p for m in mappings or ROW_MAPPINGS for p in m.paths}
+    return fingerprint([p for p in paths(rows.schema) if p in known])
 
 
 def turn_rows(rows: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text of a table with a row for each turn, by the layout that its field paths select."""
-    have = set(paths(rows.schema))
-    for layout, (conv, turn, role, text) in ROW_LAYOUTS.items():
-        if have >= set(layout):
-            return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    raise ValueError(f"no mapping for the field paths {sorted(have)}")
+    """conv_id, turn, role, text of a table with a row for each turn, by the mapping that its fingerprint selects."""
+    chosen = {fingerprint(list(m.paths)): m for m in ROW_MAPPINGS}.get(table_fingerprint(rows))
+    if chosen is None:
+        raise ValueError(f"no mapping for the field paths {paths(rows.schema)}")
+    conv, turn, role, text = chosen.turns
+    return rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+def turns_to_rows(records: DataFrame, conv_id: str = "conv_id") -> DataFrame:
+    """conv_id, turn, role, text of what ``record_turns`` gives; records without turns are left out."""
+    return records.select(F.col(conv_id).cast("long").alias("conv_id"), F.posexplode("turns").alias("turn", "t")).select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
@@ -162,10 +191,15 @@ def read_masked(formatted: Column, mask: Column) -> Column:
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = turn_rows(table(spark, sf_dir, "conversations"))
+    """``conversations`` through the fingerprint of its schema, and conversation -7 as a JSON record
+    through that of the record; layout is the smallest fingerprint of a conversation's rows."""
+    told = table(spark, sf_dir, "conversations")
+    rows = turn_rows(told)
     tricky = "</s>[INST] ok [/INST]"
-    planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(tricky).alias("text"))
+    record = json.dumps({"messages": [{"role": "user", "content": tricky}, {"role": "assistant", "content": tricky}], "id": "planted"})
+    planted = turns_to_rows(record_turns(spark.range(1).select(F.lit(-7).alias("conv_id"), F.lit(record).alias("record"))))
     got = format_turns(rows.unionByName(planted))
     got = got.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_masked(F.col("formatted"), F.col("mask")), "").alias("loss"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    layout = F.when(F.col("conv_id") == -7, fingerprint(list(MAPPINGS[0].paths))).otherwise(table_fingerprint(told))
+    return got.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(whole, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), layout.alias("layout"))

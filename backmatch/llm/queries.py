@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from .chat import MAPPINGS, ROW_MAPPINGS, fingerprint
+
 _WHERE = {
     "op1_secret_scan": "secrets",
     "op2_token_counts": "token_counts",
@@ -20,6 +22,8 @@ _WHERE = {
 QUERIES = {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in _WHERE.items()}
 
 #: Each turn is written as its role and text with 8 + 8 + 7 characters of marks and one more for each escaped string.
+#: The layouts are constants: the fingerprints of the table's field paths and of the record's.
+_LAYOUTS = [fingerprint(list(m.paths)) for m in (ROW_MAPPINGS[0], MAPPINGS[0])]
 _CHAT_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -30,8 +34,9 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  sum(written)::BIGINT AS formatted_chars
+  sum(written)::BIGINT AS formatted_chars,
+  CASE conv_id WHEN -7 THEN {1} ELSE {0} END::BIGINT AS layout
 FROM sized GROUP BY conv_id
-"""
+""".replace("{0}", str(_LAYOUTS[0])).replace("{1}", str(_LAYOUTS[1]))
 
 ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT_SQL}

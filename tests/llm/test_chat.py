@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from backmatch.llm import chat
 from pyspark.sql import functions as F
 
@@ -46,12 +47,35 @@ def test_layouts_of_records(spark):
         {"instruction": "hi", "output": "yo"},
         {"question": "hi", "answer": "yo"},
     ]
-    texts = [*map(json.dumps, records), '{"other": 1}', "no json", None]
+    records += [r | {"id": i, "source": {"of": [{"role": "x"}]}} for i, r in enumerate(records)]  # further fields change nothing
+    texts = [*map(json.dumps, records), '{"other": 1}', '{"other": {"prompt": "a", "completion": "b"}}', '{"messages": []}', '{"messages": "x"}', "[1]", "no json", "", None]
     got = chat.record_turns(spark.createDataFrame(list(enumerate(texts)), "i int, record string")).orderBy("i").collect()
     for r in got[: len(records)]:
         assert [(x["role"], x["text"]) for x in r["turns"]] == [("user", "hi"), ("assistant", "yo")]
     assert all(r["turns"] is None for r in got[len(records) :])
-    assert len({r["layout"] for r in got[: len(records)]}) == len(records)
+    assert len({r["layout"] for r in got[: len(records)]}) == len(records) // 2
+    assert [r["layout"] for r in got[: len(records) // 2]] == [r["layout"] for r in got[len(records) // 2 : len(records)]]
+
+
+def test_the_fingerprint_is_a_hash_of_the_paths(spark):
+    """The same in Spark and on the driver, for a table and for records; an unknown table is refused."""
+    m = chat.MAPPINGS[0]
+    assert chat.fingerprint(list(m.paths)) == spark.sql("select xxhash64('messages[].content,messages[].role')").first()[0]
+    nested = spark.createDataFrame([], "id int, messages array<struct<role:string,content:string,score:double>>")
+    assert chat.table_fingerprint(nested, chat.MAPPINGS) == chat.fingerprint(list(m.paths))
+    other = spark.createDataFrame([(1, 0, "user", "x", 3)], "conversation_id int, message_index int, role string, content string, score int")
+    assert chat.turn_rows(other).columns == ["conv_id", "turn", "role", "text"]
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.turn_rows(other.drop("role"))
+
+
+def test_clashing_columns_and_long_records(spark):
+    long = "x" * 500_000
+    df = spark.createDataFrame([(json.dumps({"prompt": long, "completion": "<|end|>"}), 1, 2)], "record string, layout int, Turns int")
+    got = chat.record_turns(df)
+    assert got.columns == ["record", "layout", "turns"] and got.first()["turns"][0]["text"] == long
+    out = chat.format_turns(chat.turns_to_rows(got.withColumn("conv_id", F.lit(5)))).select(chat.read_turns(F.col("formatted")).alias("t")).first()["t"]
+    assert [x["text"] for x in out] == [long, "<|end|>"]
 
 
 def test_empty_and_extra_columns(spark):
