@@ -2,7 +2,10 @@
 
 Every step is a grouped minimum and a join, so nothing about the graph
 reaches the driver but a count and a checksum; each round is checkpointed.
-A hub's edges meet only in a join that adaptive execution can split.
+The smallest neighbour of a hub is broadcast to its edges, so they needn't meet.
+
+Defined results: edges with a null end are ignored; repeated edges and edges
+from a node to itself change nothing; without edges the result is empty.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .buckets import join_unique
 from .common import checkpointed
 
 
@@ -18,12 +22,12 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r[0], r[1] or 0
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
     """Join the neighbours of each node to the smallest of them: the larger neighbours in a
     large star, the smaller ones and the node itself in a small star."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    got = near.join(least, "u")
+    least = checkpointed(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    got = join_unique(near, least, "u", hub=hub)
     if large:
         moved = got.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -31,13 +35,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, hub: int | None = None) -> DataFrame:
     """node, component (smallest node that can be reached) for each node on an edge that isn't
     the smallest itself.  ``edges`` has long columns u, v."""
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
     while state[0]:
-        now = checkpointed(_star(_star(now, large=True), large=False))
+        now = checkpointed(_star(checkpointed(_star(now, True, hub)), False, hub))
         before, state = state, _state(now)
         if state == before:
             break

@@ -25,10 +25,15 @@ Sets of under ``SHORT_SET`` shingles meet by their least hashes, of which two
 sets of that similarity always share one.  Candidates are joined to classes,
 and within each class the sets themselves decide.
 
+A bucket of a trie and a class of candidates is one task only up to a number
+of bytes; :mod:`buckets` deals larger ones in blocks without losing a link.
+
 Defined results: a null text has no words, like an empty one; fingerprint zero
-is linked like any other; repeated rows are in one class; a row with a null
-doc_id gets the class of its fingerprint, null if no other row has it; an
-empty table gives an empty result; extra columns are ignored.
+is linked like any other, and so are texts without words; repeated rows are in
+one class; rows of one doc_id with different texts are rows of their own; a
+row with a null doc_id gets the class of its fingerprint, null if no other
+row of the class has an id; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,10 +44,11 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded, checkpointed, drop_ids, table
+from .buckets import BUCKET_BYTES, dealt, join_unique
+from .common import arrow_batches, bounded, checkpointed, drop_rows, table, text_hash
 from .components import components
 
 SEED, BITS, BUDGET = 42, 64, 3
@@ -184,7 +190,8 @@ def trie_classes(key: np.ndarray, word: np.ndarray, prints: np.ndarray, bits: in
 
 
 def _bucket_stars(batches: Iterator[pa.RecordBatch], words: int, bits: int, budget: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """key, print, node rows sorted by key -> u, v: each member of a class and its smallest node."""
+    """bucket, print, node rows sorted by bucket -> u, v: each member of a class and its smallest node.
+    A bucket is a key of 20 bits, whose highest say which word it is of, and a part of 40 bits."""
 
     def emit(key, prints, node):
         prints = np.ascontiguousarray(prints)
@@ -192,7 +199,7 @@ def _bucket_stars(batches: Iterator[pa.RecordBatch], words: int, bits: int, budg
             word = prints[:, 0]
         else:
             halves = prints.view(np.uint32).reshape(len(prints), -1)
-            word = halves[np.arange(len(prints)), key >> 16].astype(np.uint64)
+            word = halves[np.arange(len(prints)), key >> 56].astype(np.uint64)
         order = np.lexsort((word, key))
         key, word, prints, node = key[order], word[order], prints[order], node[order]
         comp = trie_classes(key, word, prints, bits, budget, limit)
@@ -255,7 +262,7 @@ def similar_sets(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """class, node, set rows sorted by class and node -> node, component where they differ."""
+    """class, part, node, set rows sorted by these -> u, v: each member of a component and its smallest node."""
     nodes: list[int] = []
     sets: list[np.ndarray] = []
 
@@ -268,36 +275,47 @@ def _similar_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     held = None
     for b in batches:
         out = []
-        for key, node, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != held and nodes:
+        for key, part, node, raw in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if (key, part) != held and nodes:
                 out.append(decided())
                 nodes, sets = [], []
-            held = key
-            nodes.append(node)
-            sets.append(np.frombuffer(raw, np.uint64))
+            held = key, part
+            if not nodes or nodes[-1] != node:  # a stranger meets itself
+                nodes.append(node)
+                sets.append(np.frombuffer(raw, np.uint64))
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["node", "component"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], ["u", "v"])
     if nodes:
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in decided()], ["node", "component"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in decided()], ["u", "v"])
+
+
+def _differing(a: str, b: str, octets: int) -> Column:
+    """The number of bits in which two binary columns differ."""
+    word = lambda c, i: F.conv(F.hex(F.substring(c, i, 4)), 16, 10).cast("long")
+    return sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i))) for i in range(1, octets, 4)), F.lit(0))
 
 
-def linked_classes(prints: DataFrame, similar: bool = False) -> DataFrame:
+def linked_classes(prints: DataFrame, similar: bool = False, limit: int | None = None) -> DataFrame:
     """node, component for nodes linked to a smaller one.  ``prints`` has node and print (bytes),
     one row for each print.  With ``similar`` these are candidates, and ``prints`` has keys as well."""
     arrow_batches(prints.sparkSession, rows=20_000)
-    octet = lambda i, n: F.conv(F.hex(F.substring("print", i + 1, n)), 16, 10).cast("int")
+    octet = lambda i, n: F.conv(F.hex(F.substring("print", i + 1, n)), 16, 10).cast("long")
     if similar:
-        words, bits, budget, limit = WIDE, TRIE_BITS, TRIE_BUDGET, SIMILAR_BITS
+        words, bits, budget, most = WIDE, TRIE_BITS, TRIE_BUDGET, SIMILAR_BITS
         keys = [F.lit((t << 16) + (k << 8)) + octet(4 * t + k, 1) for t in range(WIDE * 2) for k in range(4)]
     else:
-        words, bits, budget, limit = 1, BITS, BUDGET, BUDGET
+        words, bits, budget, most = 1, BITS, BUDGET, BUDGET
         keys = [F.lit(k << 16) + octet(2 * k, 2) for k in range(4)]
-    dealt = prints.select(F.explode(F.array(*keys)).alias("key"), "print", "node").repartition("key").sortWithinPartitions("key")
-    stars = dealt.mapInArrow(lambda b: _bucket_stars(b, words, bits, budget, limit), "u long, v long")
+    rows = prints.select(F.explode(F.array(*keys)).alias("key"), "print", "node")
+    rows, links = dealt(rows, F.lit(8 * words + 40), "print", lambda df: df.withColumn("hit", _differing("print", "centre", 8 * words) <= most), limit)
+    bucket = (F.shiftleft("key", 40) + F.col("part")).alias("bucket")
+    stars = rows.select(bucket, "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _bucket_stars(b, words, bits, budget, most), "u long, v long")
+    if links is not None:
+        stars = stars.unionByName(links)
     if similar:
-        met = prints.select(F.explode("keys").alias("key"), "node")
-        least = met.select(F.col("node").alias("u"), F.min("node").over(Window.partitionBy("key")).alias("v"))
-        stars = stars.unionByName(least.where("u <> v"))
+        met = prints.select(F.explode("keys").alias("key"), F.col("node").alias("u"))
+        least = checkpointed(met.groupBy("key").agg(F.min("u").alias("v"), F.count("*").alias("n")).where("n > 1"))
+        stars = stars.unionByName(join_unique(met, least, "key").where("u <> v").select("u", "v"))
     return components(stars)
 
 
@@ -314,66 +332,109 @@ def document_prints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def set_prints(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id, same (a 128-bit hash of the set of shingles), print and keys (of candidates)."""
+    """doc_id, hash (of the text), size (bytes of the set), same (a 128-bit hash of the set of shingles),
+    print and keys (of candidates)."""
     arrow_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [np.unique(shingle_hashes(t or "", width)) for t in b.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(t or "", width)) for t in b.column(2).to_pylist()]
             same = pa.array([xxhash.xxh3_128_digest(h.tobytes()) for h in sets], pa.binary())
             keys = pa.array([candidate_keys(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), same, pa.array([wide_print(h) for h in sets], pa.binary()), keys], ["doc_id", "same", "print", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.nbytes for h in sets], pa.int64()), same, pa.array([wide_print(h) for h in sets], pa.binary()), keys], ["doc_id", "hash", "size", "same", "print", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, size long, same binary, print binary, keys array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, same binary, print binary, keys array<long>")
+def _with_least(nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``nodes`` (node, first, ...) with least, the smallest ``first`` of each node's class."""
+    linked = checkpointed(classes.unionByName(classes.select(F.col("component").alias("node"), "component")).distinct())
+    least = linked.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
+    named = linked.join(least, "component").select("node", "least")
+    return nodes.join(bounded(checkpointed(named)), "node", "left").withColumn("least", F.coalesce("least", "first"))
 
 
-def near_duplicate_classes(docs: DataFrame, similar: bool = False, width: int | None = None) -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, limit: int | None = None) -> DataFrame:
     """doc_id, print, component_id for each row of ``docs``."""
-    if similar:
-        return similar_classes(docs, width or SIMILAR_SHINGLE)
-    prints = checkpointed(document_prints(docs, width or 3))
-    nodes = checkpointed(prints.groupBy("print").agg(F.min("doc_id").alias("node")))
-    classes = linked_classes(nodes.where("node is not null"))
-    named = nodes.join(classes, "node", "left").select(F.col("print").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, prints["print"] == named["of"], "left").select("doc_id", "print", "component_id")
+    prints = checkpointed(document_prints(docs))
+    nodes = prints.groupBy("print").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    nodes = checkpointed(nodes.withColumn("node", F.monotonically_increasing_id()))
+    named = _with_least(nodes, linked_classes(nodes, limit=limit))
+    return join_unique(prints, checkpointed(named.select("print", F.col("least").alias("component_id"), "n")), "print").select("doc_id", "print", "component_id")
 
 
-def similar_classes(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
-    """doc_id, print, component_id for each row of ``docs``, of links by exact similarity of the sets."""
+def similar_classes(docs: DataFrame, width: int = SIMILAR_SHINGLE, limit: int | None = None) -> DataFrame:
+    """doc_id, hash, component_id, first for each row of ``docs``, of links by exact similarity of the sets; first is
+    the row that stands for the class, that with the smallest doc_id, then hash (struct of none, doc_id, hash)."""
     prints = checkpointed(set_prints(docs, width))
-    nodes = checkpointed(prints.groupBy("same").agg(F.min_by(F.struct("print", "keys", "doc_id"), "doc_id").alias("p")).select("same", F.col("p.print").alias("print"), F.col("p.keys").alias("keys"), F.col("p.doc_id").alias("node")).where("node is not null"))
-    linked = linked_classes(nodes, similar=True)
-    members = linked.unionByName(linked.select(F.col("component").alias("node"), "component")).distinct()
-    members = checkpointed(members.join(nodes.select("node", "same"), "node").select("node", F.col("component").alias("class"), "same"))
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    nodes = prints.groupBy("same").agg(F.min(first).alias("first"), F.count("*").alias("n"), F.min_by(F.struct("print", "keys", "size"), first).alias("p"))
+    nodes = checkpointed(nodes.select("same", "first", "n", "p.*", F.monotonically_increasing_id().alias("node")))
+    decided = _similar_links(docs, nodes, linked_classes(nodes, True, limit), width, limit)
+    named = _with_least(nodes.select("same", "first", "n", "node"), components(decided))
+    return join_unique(prints.select("doc_id", "hash", "same"), checkpointed(named.select("same", "least", "n")), "same").select("doc_id", "hash", F.col("least.doc_id").alias("component_id"), F.col("least").alias("first"))
+
+
+def _similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, width: int, limit: int | None) -> DataFrame:
+    """u, v: nodes of one component, by the sets themselves, of those that ``candidates`` puts in one class."""
+    members = candidates.unionByName(candidates.select(F.col("component").alias("node"), "component")).distinct()
+    members = checkpointed(members.join(nodes.select("node", "first"), "node").select("node", F.col("component").alias("class"), F.col("first.doc_id").alias("id"), F.col("first.hash").alias("hash")))
     arrow_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
-            sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in b.column(3).to_pylist()]
-            # another row of the same doc_id may have another text
-            own = pa.array([xxhash.xxh3_128_digest(h) == x for h, x in zip(sets, b.column(2).to_pylist(), strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["class", "node", "set"]).filter(own)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    sets = texts.join(bounded(members, 300_000), "node").select("class", "node", "same", "text").mapInArrow(run, "class long, node long, set binary")
-    decided = checkpointed(sets.repartition("class").sortWithinPartitions("class", "node").mapInArrow(_similar_stars, "node long, component long"))
-    named = nodes.join(decided.groupBy("node").agg(F.min("component").alias("component")), "node", "left").select(F.col("same").alias("of"), F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, prints["same"] == named["of"], "left").select("doc_id", "print", "component_id")
+            fresh = []
+            for n in b.column(1).to_pylist():  # repeated rows are one node
+                fresh.append(n not in seen)
+                seen.add(n)
+            if len(seen) > 1_000_000:
+                seen.clear()
+            b = b.filter(pa.array(fresh, pa.bool_()))
+            sets = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sets, pa.binary())], ["key", "node", "set"])
+
+    def near(df: DataFrame) -> DataFrame:
+        kept = df.columns
+        at = [kept.index(c) for c in ("set", "centre")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                pairs = zip(*(b.column(i).to_pylist() for i in at), strict=True)
+                hit = [similar_sets([np.frombuffer(x, np.uint64) for x in p])[1] == 0 for p in pairs]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], [*kept, "hit"])
+
+        return df.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in df.dtypes) + ", hit boolean")
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("own"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
+    sets = texts.join(bounded(members), same).select("class", "node", "text").mapInArrow(sets_of, "key long, node long, set binary")
+    big = nodes.join(bounded(members.select("node", "class")), "node").groupBy("class").agg(F.sum("size").alias("held"))
+    if not big.where(F.col("held") > (BUCKET_BYTES if limit is None else limit)).isEmpty():
+        sets = checkpointed(sets)  # read more than once
+        rows, links = dealt(sets, F.length("set"), "set", near, limit)
+    else:
+        rows, links = sets.select("key", "node", "set", F.lit(0).cast("long").alias("part")), None
+    stars = rows.select("key", "part", "node", "set").repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_similar_stars, "u long, v long")
+    return stars if links is None else stars.unionByName(links)
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """One document of each class of similar documents, that with the smallest doc_id, with all columns.
+    """One row of each class of similar documents, with all columns: that of the smallest doc_id.
 
-    Rows that share one doc_id count once; rows without a doc_id stay.
+    Rows of one doc_id with different texts are rows of their own; among them, and among rows without a doc_id, which
+    come last, the smallest hash of the text stays.  Of rows with the same doc_id and text one stays, that with
+    the smallest hash of all its columns.
     """
-    classes = checkpointed(near_duplicate_classes(docs, similar=True))
-    gone = checkpointed(classes.where("component_id < doc_id").select("doc_id").distinct())
-    kept = drop_ids(docs, gone)
-    again = checkpointed(classes.groupBy("doc_id").count().where("doc_id is not null and count > 1").select("doc_id"))
+    rows = checkpointed(similar_classes(docs))
+    at = {"doc_id": docs["doc_id"].cast("long"), "hash": text_hash()}
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    kept = drop_rows(docs, checkpointed(rows.where(own != F.col("first")).select("doc_id", "hash").distinct()), at)
+    again = checkpointed(rows.groupBy("doc_id", "hash").count().where("count > 1").select("doc_id", "hash"))
     if again.isEmpty():
         return kept
-    same = kept.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return drop_ids(kept, again).unionByName(same)
+    repeated = kept.groupBy(F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash")).agg(F.count("*").alias("n"), F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("one"))
+    return drop_rows(kept, again, at).unionByName(repeated.where("n > 1").select("one.*"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -381,6 +442,6 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", fingerprint_text().alias("fingerprint"), "component_id")
 
 
-def fingerprint_text():
+def fingerprint_text() -> Column:
     """16 hex digits, the highest byte first."""
     return F.lower(F.concat(*(F.hex(F.substring("print", i, 1)) for i in range(8, 0, -1))))
