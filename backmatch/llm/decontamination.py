@@ -19,14 +19,16 @@ rows of numbers are found verbatim only.  A capitalised word is a name behind
 other text only, so an item is looked up in both forms of its first word.
 
 Window hashes are built by doubling, so a window costs three hashes whatever
-its width.  The benchmark's windows are broadcast while their counted number
-is at most ``BROADCAST_WINDOWS``; beyond it the join shuffles.
-
-Defined results: a null text has no tokens; an item shorter than a window is
-found by its windows of ``SHORT`` tokens, of which all must be there; items
-of fewer than ``SHORT`` tokens and null items are ignored; repeated items are
-each reported; rows that share a doc_id count as one document; an empty table
-on either side gives an empty result; extra columns are ignored.
+its width.  The benchmark's windows are broadcast while their bytes, counted,
+are within the bound of ``bounded``; beyond it the join shuffles.
+
+Defined results: a null text has no tokens; an item of under ``WINDOW`` tokens
+is found by its windows of ``SHORT`` tokens, of which all must be there, and
+one of under ``SHORT`` tokens as one window, verbatim only; null items and
+items without a letter or digit are ignored; repeated items are each reported;
+rows that share a doc_id are looked at one by one and reported as one
+document; very long texts are looked up whole; an empty table on either side
+gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, checkpointed, drop_ids, table
+from .common import bounded, checkpointed, drop_rows, table, text_hash
 
 WINDOW, SHORT = 8, 4
 COVERED = 0.5
@@ -44,7 +46,6 @@ PASSAGE = 13
 LITERAL = 4
 #: Tokens of an item that are no placeholders, at least, for it to be found as a whole by windows with fewer.
 LITERAL_ITEM = 2
-BROADCAST_WINDOWS = 500_000
 
 #: Units that count after a number.
 UNITS = "km|kg|cm|mm|mg|ml|m|g|l|miles?|hours?|hrs?|minutes?|mins?|seconds?|secs?|days?|weeks?|months?|years?|dollars?|euros?|percent|%|€|°C|°F"
@@ -81,10 +82,11 @@ STRONG, WEAK, VERBATIM = range(3)
 
 
 def _forms(text: Column) -> Column:
-    """The tokens of an item that stands alone and, if they differ, of one behind other text, where a
-    capitalised first word is a name."""
-    inside = values_of(F.concat(F.lit("a "), F.regexp_replace(text, r"^\s+", "")))
-    return F.array_distinct(F.array(values_of(text), F.slice(inside, F.lit(2), F.size(inside))))
+    """The tokens of an item that stands alone and, if they differ, of one behind other text, where its
+    first word is a name if it is capitalised, there or in the document."""
+    bare = F.regexp_replace(text, r"^\s+", "")
+    behind = lambda t: F.slice(values_of(F.concat(F.lit("a "), t)), F.lit(2), F.size(values_of(F.concat(F.lit("a "), t))))
+    return F.array_distinct(F.array(values_of(text), behind(bare), behind(F.concat(F.upper(F.left(bare, F.lit(1))), F.substring(bare, 2, 2**31 - 1)))))
 
 
 def _doubled(h: Column, by: int, add=F.xxhash64) -> Column:
@@ -95,12 +97,13 @@ def _doubled(h: Column, by: int, add=F.xxhash64) -> Column:
 
 def windows(rows: DataFrame, width: int, *keep: str) -> DataFrame:
     """The columns ``keep``, and at, literal (tokens that are no placeholders), typed and verbatim (hashes with
-    placeholders and with their values) for each window of ``width`` (a power of two) of ``values``."""
+    placeholders and with their values) for each window of ``width`` of ``values``."""
     rows = rows.select(*keep, F.transform(placeholders(F.col("values")), lambda t: F.xxhash64(t)).alias("typed"), F.transform("values", lambda v: F.xxhash64(v)).alias("verbatim"), F.transform("values", lambda v: (~v.startswith(OPEN)).cast("int")).alias("literal"))
-    by = 1
-    while by < width:
+    wide = 1
+    while wide < width:  # windows overlap where the width is no power of two, but for what counts literal tokens
+        by = min(wide, width - wide)
         rows = rows.select(*keep, *(_doubled(F.col(h), by).alias(h) for h in ("typed", "verbatim")), _doubled(F.col("literal"), by, lambda a, b: a + b).alias("literal"))
-        by *= 2
+        wide += by
     # outer, as an inner one adds a filter that computes all of this again
     return rows.select(*keep, F.posexplode_outer(F.arrays_zip("typed", "verbatim", "literal")).alias("at", "w")).where("w is not null").select(*keep, "at", "w.*")
 
@@ -109,6 +112,8 @@ def _hashes(width: int) -> Column:
     """The hashes that stand for a window, and kind: STRONG with placeholders, WEAK with too many of them for
     that, VERBATIM with the values of a weak one."""
     kind = lambda h, k: F.struct(F.col(h).alias("hash"), F.lit(k).alias("kind"))
+    if width < SHORT:
+        return F.array(kind("verbatim", VERBATIM))
     enough = F.col("literal") >= LITERAL * width // WINDOW
     return F.when(enough, F.array(kind("typed", STRONG))).when(F.col("literal") > 0, F.array(kind("typed", WEAK), kind("verbatim", VERBATIM))).otherwise(F.array(kind("verbatim", VERBATIM)))
 
@@ -126,7 +131,7 @@ def _tokens_of(at: Column) -> Column:
 def _enough(at: Column) -> Column:
     """Whether the windows ``at`` of the item are enough of it."""
     half = F.size(_tokens_of(at)) / F.col("n") >= COVERED
-    return F.when(F.col("n") >= WINDOW, half).otherwise(F.size(at) == F.col("n") - SHORT + 1)
+    return F.when(F.col("n") >= WINDOW, half).otherwise(F.size(at) == F.col("n") - F.col("width") + 1)
 
 
 def _span(offset: Column, lo: Column, hi: Column) -> Column:
@@ -157,55 +162,65 @@ def _spans() -> Column:
     return F.concat(whole, F.flatten(F.transform("places", lambda p: _passages(p["offset"], p["at"]))))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
-    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.posexplode(_forms(F.col("text"))).alias("form", "values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") >= SHORT)
-    wide = F.when(F.col("n") >= WINDOW, WINDOW).otherwise(SHORT)
+def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """As ``contamination``, with the hash of the text as a key beside doc_id."""
+    items = benchmark.where(F.col("text").isNotNull()).select("item_id", F.posexplode(_forms(F.col("text"))).alias("form", "values")).withColumn("tokens", placeholders(F.col("values"))).withColumn("n", F.size("tokens")).where(F.col("n") > 0)
+    wide = F.when(F.col("n") >= WINDOW, WINDOW).otherwise(F.least("n", F.lit(SHORT)))
     literal = lambda tokens: F.size(F.filter(tokens, lambda t: ~t.isin(*SLOTS)))
     open_ = F.filter(F.sequence(F.lit(0), F.col("n") - wide), lambda i: literal(F.slice("tokens", i + 1, wide)) > 0)
-    items = checkpointed(items.withColumn("n_open", F.when(literal(F.col("tokens")) >= LITERAL_ITEM, F.size(open_))))
-    parts = [(WINDOW, items.where(F.col("n") >= WINDOW))]
-    if not items.where(F.col("n") < WINDOW).isEmpty():
-        parts.append((SHORT, items.where(F.col("n") < WINDOW)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), values_of(F.col("text")).alias("values"))
+    items = checkpointed(items.withColumn("n_open", F.when((literal(F.col("tokens")) >= LITERAL_ITEM) & (F.col("n") >= SHORT), F.size(open_))).withColumn("wide", wide))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"), values_of(F.col("text")).alias("values"))
+    doc = ["doc_id", "text_hash"]
     found = None
-    for width, some in parts:
-        own = bounded(checkpointed(_item_windows(some, width)), BROADCAST_WINDOWS)
-        looked = windows(texts, width, "doc_id").select("doc_id", "at", F.explode(_hashes(width)["hash"]).alias("hash"))
-        hits = looked.join(own, "hash").select("doc_id", "item_id", "form", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), "kind", F.lit(width).alias("width"))
+    for (width,) in sorted(items.select("wide").distinct().collect()):  # five widths at most
+        own = bounded(checkpointed(_item_windows(items.where(F.col("wide") == width), width)), 48)
+        looked = windows(texts, width, *doc).select(*doc, "at", F.explode(_hashes(width)["hash"]).alias("hash"))
+        hits = looked.join(own, "hash").select(*doc, "item_id", "form", "ipos", (F.col("at") - F.col("ipos")).alias("offset"), "kind", F.lit(width).alias("width"))
         found = hits if found is None else found.unionByName(hits)
+    if found is None:
+        none = F.lit(None).cast("long")
+        return docs.select(none.alias("doc_id"), none.alias("text_hash"), none.alias("item_id"), none.cast("double").alias("covered"), none.alias("n_windows"), none.cast("int").alias("slots"), F.lit(True).alias("same_values")).where("false")
     hits = checkpointed(found.distinct())
     of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("ipos")))
-    places = hits.groupBy("doc_id", "item_id", "form", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
-    pairs = places.groupBy("doc_id", "item_id", "form").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
-    pairs = pairs.join(bounded(items, 50_000), ["item_id", "form"])
+    places = hits.groupBy(*doc, "item_id", "form", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
+    pairs = places.groupBy(*doc, "item_id", "form").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
+    pairs = pairs.join(bounded(items, 100 * F.col("n")), ["item_id", "form"])
     every = F.sequence(F.lit(0), F.col("n") - F.col("width"))
     pairs = pairs.withColumn("at", F.when(F.exists("places", _whole), every).otherwise(F.array_distinct(F.flatten("places.at"))))
     pairs = pairs.withColumn("covered", F.size(_tokens_of(F.col("at"))) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
     pairs = checkpointed(pairs.withColumn("spans", _spans()).where(F.size("spans") > 0).drop("places", "at"))
-    plain = pairs.where("slots = 0").select("doc_id", "item_id", "covered", "n_windows", "slots", F.lit(True).alias("same_values"))
+    out = [*doc, "item_id", "covered", "n_windows", "slots"]
+    plain = pairs.where("slots = 0").select(*out, F.lit(True).alias("same_values"))
     with_slots = pairs.where("slots > 0")
-    got = plain if with_slots.isEmpty() else plain.unionByName(_consistent(docs, with_slots))
-    return got.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("covered", "n_windows", "slots", "same_values")))
+    return plain if with_slots.isEmpty() else plain.unionByName(_consistent(docs, with_slots, out))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, covered (share of the item's tokens), n_windows, slots (of the item), same_values."""
+    return _contaminated(docs, benchmark).groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("covered", "n_windows", "slots", "same_values")))
 
 
-def _consistent(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def _consistent(docs: DataFrame, pairs: DataFrame, out: list[str]) -> DataFrame:
     """Those pairs whose slots agree in one of the spans: one value of the document for each of the item's."""
     pairs = pairs.select("*", F.explode("spans").alias("span")).select("*", "span.*")
-    ids = checkpointed(pairs.select("doc_id").distinct())
-    own = docs.join(bounded(ids), "doc_id", "left_semi").select("doc_id", values_of(F.col("text")).alias("dv")).withColumn("dt", placeholders(F.col("dv")))
+    ids = checkpointed(pairs.select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("own"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id_of"), text_hash().alias("hash_of"), "text")
+    same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
+    texts = texts.join(bounded(ids), same(("id_of", "hash_of"), ("id", "own")), "left_semi").dropDuplicates(["id_of", "hash_of"])
+    own = texts.select("id_of", "hash_of", values_of(F.col("text")).alias("dv")).withColumn("dt", placeholders(F.col("dv")))
     at = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + F.col("offset")), F.lit(""))))
-    got = pairs.join(own, "doc_id").select("doc_id", "item_id", "covered", "n_windows", "slots", "tokens", "values", "dt", "dv", "offset", at.alias("where"))
+    got = pairs.join(own, same(("doc_id", "text_hash"), ("id_of", "hash_of"))).select(*out, "tokens", "values", "dt", "dv", "offset", at.alias("where"))
     value = F.transform("where", lambda i: F.struct(F.get("values", i).alias("item"), F.get("dv", i + F.col("offset")).alias("doc")))
     got = got.withColumn("value", F.array_distinct(value))
     firsts = F.size(F.array_distinct(F.transform("value", lambda v: v["item"])))
-    same = F.forall("value", lambda v: v["item"].eqNullSafe(v["doc"]))
-    return got.where((F.size("value") == firsts) | same).select("doc_id", "item_id", "covered", "n_windows", "slots", same.alias("same_values"))
+    agree = F.forall("value", lambda v: v["item"].eqNullSafe(v["doc"]))
+    return got.where((F.size("value") == firsts) | agree).select(*out, agree.alias("same_values"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows without a doc_id stay."""
-    return drop_ids(docs, checkpointed(contamination(docs, benchmark).where("doc_id is not null").select("doc_id").distinct()))
+    """The rows whose text contains no item, with all their columns, also where a row of the same doc_id or without one does."""
+    gone = checkpointed(_contaminated(docs, benchmark).select("doc_id", "text_hash").distinct())
+    return drop_rows(docs, gone, {"doc_id": docs["doc_id"].cast("long"), "text_hash": text_hash()})
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
