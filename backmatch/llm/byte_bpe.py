@@ -4,13 +4,18 @@ The ``tokenizers`` library encodes Arrow batches.  Its vocabulary writes each
 byte as one printable character; ids are turned back into bytes through the
 reverse of that table, so characters split over tokens come back whole.  The
 merges are derived from a rank file, so the same ranks serve any library.
+Offsets in code points follow from the tokens' bytes: a character split over
+tokens is in the range of each.
 
 A single space between two non-space characters always begins a new match of
-the pattern, so a text is cut there and the ids of a piece are kept in a
-bounded table per worker; the ids are those of encoding the text in one go.
+the pattern, so a text is cut there.  All pieces of a batch that aren't known
+yet go to the library together, in groups of about equal bytes, and the ids of
+a piece are kept in a bounded table per worker; the ids are those of encoding
+each text in one go.
 
 Defined results: null text is an empty text (no ids, the digests of nothing);
-repeated rows are each encoded; extra columns are ignored; an empty table
+very long texts are encoded whole; repeated rows are each encoded; extra
+columns are ignored, also those that ``keep`` doesn't name; an empty table
 gives an empty result.
 """
 
@@ -23,7 +28,6 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +37,8 @@ from .common import arrow_batches, table
 from .token_counts import balanced, default_path
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces kept per worker, their longest, and the longest piece that is split here.
-KEPT, KEPT_CHARS, LONG = 250_000, 32, 1 << 14
-#: The usual pattern for a piece whose characters beyond ASCII are all letters; splitting it here
-#: and handing each match to the model saves the library's bookkeeping for short pieces.
-_USUAL = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?[0-9]+| ?[!-/:-@\[-`{-~\x00-\x08\x0e-\x1f\x7f]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
-_ASCII = re.compile(r"[\x00-\x7f]+")
+#: Pieces kept per worker, their longest, and code points of texts whose pieces are encoded together.
+KEPT, KEPT_CHARS, TOGETHER = 250_000, 32, 1 << 20
 
 
 def byte_characters() -> list[str]:
@@ -87,54 +87,57 @@ class Codec:
         back = {c: b for b, c in enumerate(chars)}
         # from the written form back to bytes, as the library hands tokens out
         self.bytes_of = {i: bytes(back[c] for c in t) for t, i in self.tokenizer.get_vocab().items()}
-        self.model, self.usual = self.tokenizer.model, pattern in (None, public_tokenizers.PATTERN)
-        self.chars, self.written = chars, dict(enumerate(chars))
+        self.size_of = np.zeros(max(self.bytes_of) + 1, np.int64)
+        for i, t in self.bytes_of.items():
+            self.size_of[i] = len(t)
         self.decimal = {i: str(i) for i in self.bytes_of}
         self.kept: dict[str, bytes] = {}
 
-    def _match(self, m: str) -> bytes:
-        """The packed ids of one match of the pattern: the model alone, on the written form of its bytes."""
-        w = m.replace(" ", self.chars[32]) if m.isascii() and m.isprintable() else m.encode().decode("latin-1").translate(self.written)
-        return array("I", [t.id for t in self.model.tokenize(w)]).tobytes()
-
     def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
+        """The packed ids of each piece, by the library over groups of about equal bytes."""
         out: dict[str, bytes] = {}
-        rest = []
-        for p in new:
-            if not self.usual or len(p) > LONG:
-                rest.append(p)
-            elif p[1:].isalpha() and (p[0] == " " or p[0].isalpha()):
-                out[p] = self._match(p)  # a word is one match
-            elif p.isascii() or _ASCII.sub("", p).isalpha():
-                out[p] = b"".join([self.kept.get(m) or self._match(m) for m in _USUAL.findall(p)])
-            else:
-                rest.append(p)
-        for group in balanced(rest):
+        for group in balanced(new):
             for t, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
                 out[t] = array("I", e.ids).tobytes()
         return out
 
+    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
+        cut, kept = [cuts(t) for t in texts], self.kept
+        more = self._learn({p for c in cut for p in c if p not in kept})
+        for c in cut:
+            yield np.frombuffer(b"".join([kept[p] if p in kept else more[p] for p in c]), np.uintc)
+        if len(kept) + len(more) > KEPT:
+            kept.clear()
+        kept.update((p, x) for p, x in more.items() if len(p) <= KEPT_CHARS)
+
+    def encode_batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        group: list[str] = []
+        held = 0
+        for t in texts:
+            if group and held + len(t) > TOGETHER:
+                yield from self._together(group)
+                group, held = [], 0
+            group.append(t)
+            held += len(t)
+        yield from self._together(group)
+
     def encode(self, text: str) -> list[int]:
-        cut = cuts(text)
-        kept = self.kept
-        found = [*map(kept.get, cut)]
-        if None in found:
-            new = {p for p, x in zip(cut, found, strict=True) if x is None}
-            more = self._learn(new)
-            if len(kept) + len(new) > KEPT:
-                kept.clear()
-            kept.update((p, x) for p, x in more.items() if len(p) <= KEPT_CHARS)
-            found = [more[p] if x is None else x for p, x in zip(cut, found, strict=True)]
-        return np.frombuffer(b"".join(found), np.uintc).tolist()
+        return next(self.encode_batch([text])).tolist()
 
     def written_ids(self, ids: list[int]) -> str:
         """Decimal ids joined by one space."""
         return " ".join(map(self.decimal.__getitem__, ids))
 
-    def offsets(self, text: str) -> list[tuple[int, int, int]]:
-        """(id, start, end) in code points; a character split over tokens is in the range of each."""
-        e = self.tokenizer.encode(text, add_special_tokens=False)
-        return [(i, a, b) for i, (a, b) in zip(e.ids, e.offsets, strict=True)]
+    def offsets(self, text: str, ids: np.ndarray | list[int]) -> np.ndarray:
+        """Start and end in code points of each id of a text; a character split over tokens is in the range of each."""
+        end = np.cumsum(self.size_of[ids])
+        start = end - self.size_of[ids]
+        if not text.isascii():
+            octets = np.frombuffer(text.encode(), np.uint8)
+            at = np.cumsum((octets & 0xC0) != 0x80)  # the number of the character that a byte is of, from 1
+            start, end = at[start] - 1, at[end - 1]
+        return np.stack([start, end], 1).astype("<i4")
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -184,29 +187,35 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return _CODECS[key]
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, with ``ids`` the ids too; the columns in
-    ``keep`` are carried along."""
+def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False, keep: tuple[str, ...] = (), offsets: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, with ``ids`` the ids too, with ``offsets`` offsets_sha256, a digest
+    of the ids' starts and ends as 32-bit little-endian numbers; the columns in ``keep`` are carried along."""
     path = path or default_path(RANKS)
     arrow_batches(docs.sparkSession)
     kinds = dict(docs.dtypes)
-    schema = "doc_id long, " + "".join(f"`{k}` {kinds[k]}, " for k in keep) + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids
+    schema = "doc_id long, " + "".join(f"`{k}` {kinds[k]}, " for k in keep) + "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids + ", offsets_sha256 string" * offsets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
+        digest = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            rows = [[], [], [], []]
-            for t in b.column(1).to_pylist():
-                got = own.encode(t or "")
+            rows = [[], [], [], [], []]
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            for t, packed in zip(texts, own.encode_batch(texts), strict=True):
+                got = packed.tolist()
                 rows[0].append(len(got))
-                rows[1].append(hashlib.sha256(own.written_ids(got).encode()).hexdigest())
-                rows[2].append(hashlib.sha256(own.decode_bytes(got)).hexdigest())
+                rows[1].append(digest(own.written_ids(got).encode()))
+                rows[2].append(digest(own.decode_bytes(got)))
                 if ids:
-                    rows[3].append(pa.array(got, pa.int32()))
+                    rows[3].append(pa.array(packed.astype(np.int32)))
+                if offsets:
+                    rows[4].append(digest(own.offsets(t, packed).tobytes()))
             more = [pa.ListArray.from_arrays(pa.array([0, *_running(len(x) for x in rows[3])], pa.int32()), pa.concat_arrays(rows[3]) if rows[3] else pa.array([], pa.int32()))] if ids else []
+            if offsets:
+                more.append(pa.array(rows[4], pa.string()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).cast(pa.int64()), *(b.column(i + 2) for i in range(len(keep))), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string()), *more],
-                ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids],
+                ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["offsets_sha256"] * offsets],
             )
 
     return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
@@ -220,4 +229,4 @@ def _running(lengths: Iterable[int]) -> Iterator[int]:
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"))
+    return encode_documents(table(spark, sf_dir, "documents"), offsets=True)

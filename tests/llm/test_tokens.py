@@ -63,22 +63,25 @@ def test_ids_equal_and_decode():
 def test_a_small_table_changes_nothing(monkeypatch):
     own, other = byte_bpe.Codec(default_path(byte_bpe.RANKS)), reference()
     monkeypatch.setattr(byte_bpe, "KEPT", 20)
-    for t in fuzz(300, 5):
-        assert own.encode(t) == other.encode_ordinary(t)
+    monkeypatch.setattr(byte_bpe, "TOGETHER", 90)
+    texts = fuzz(300, 5)
+    assert [x.tolist() for x in own.encode_batch(texts)] == [other.encode_ordinary(t) for t in texts]
 
 
 def test_offsets_and_split_characters():
-    own, text = byte_bpe.codec(), "a😀b 中文"
-    got = own.offsets(text)
-    assert [i for i, _, _ in got] == own.encode(text)
-    assert {c for _, a, b in got for c in range(a, b)} == set(range(len(text)))
+    own = byte_bpe.codec()
+    for text in ["a😀b 中文", "", *fuzz(500, 6)]:
+        e = own.tokenizer.encode(text, add_special_tokens=False)
+        assert e.ids == own.encode(text)
+        assert own.offsets(text, e.ids).tolist() == [list(x) for x in e.offsets], text
     ids = own.encode("😀")
     assert len(ids) > 1 and own.decode(ids[:1]) == "�" and list(own.decode_stream(ids))[-1] == "😀"
 
 
 def test_document_rows(docs, no_docs):
-    rows = byte_bpe.encode_documents(docs, ids=True, keep=("lang", "score")).collect()
+    rows = byte_bpe.encode_documents(docs, ids=True, keep=("lang", "score"), offsets=True).collect()
     assert len(rows) == len(TEXTS)
+    own = byte_bpe.codec()
     for r in rows:
         if r["doc_id"] not in (None, 3):
             t = dict(TEXTS)[r["doc_id"]] or ""
@@ -86,4 +89,5 @@ def test_document_rows(docs, no_docs):
             assert r["ids_sha256"] == hashlib.sha256(" ".join(map(str, r["ids"])).encode()).hexdigest()
             assert r["decoded_sha256"] == hashlib.sha256(t.encode()).hexdigest()
             assert r["score"] == 7
+            assert r["offsets_sha256"] == hashlib.sha256(own.offsets(t, r["ids"]).tobytes()).hexdigest()
     assert byte_bpe.encode_documents(no_docs).count() == 0
