@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
+from . import secrets
 from .chat import MAPPINGS, ROW_MAPPINGS, fingerprint
 
 _WHERE = {
@@ -39,4 +40,41 @@ SELECT conv_id, count(*) AS n_turns,
 FROM sized GROUP BY conv_id
 """.replace("{0}", str(_LAYOUTS[0])).replace("{1}", str(_LAYOUTS[1]))
 
-ORACLE_SQL: dict[str, str] = {"op4_chat_format": _CHAT_SQL}
+#: The patterns of the secret scan without lookbehind and possessive repetition, which find the same, and what a match must pass.
+_PLAIN = {"access": "AKIA[A-Z0-9]+", "account": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "host": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+"}
+_PASSES = {
+    "assign": "length(regexp_extract(m, {}, 1)) >= 8",
+    "access": "length(m) >= 16",
+    "opaque": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]')",
+    "host": "NOT list_contains(list_transform(string_split(m, '.'), lambda x: x::HUGEINT <= 255), false)",
+}
+
+
+def _secrets_sql() -> str:
+    """Base spans and, by a plain join of a document's parts, the linked ones."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = []
+    for i, k in enumerate(secrets.KINDS):
+        pattern = quoted(_PLAIN.get(k.name, k.pattern))
+        needs = "[" + ", ".join(map(quoted, secrets.NEEDS.get(k.name, ()))) + "]::VARCHAR[]"
+        each.append(f"""SELECT row, {i} AS kind, {quoted(secrets.ROLES[k.name])} AS role, {needs} AS needs, m, s, s + length(m) AS e FROM (
+    SELECT row, unnest(ms) AS m, unnest(list_transform(range(1, len(ms) + 1), lambda i: coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0)))::BIGINT AS s
+    FROM (SELECT row, regexp_extract_all(text, {pattern}) AS ms, string_split_regex(text, {pattern}) AS gaps FROM d) WHERE len(ms) > 0)
+  WHERE {_PASSES.get(k.name, "true").format(pattern)}""")
+    inside = secrets.NAMES.index(secrets.INSIDE)
+    named = f"[{', '.join(map(quoted, secrets.NAMES))}][kind + 1] || ':' || s || ':' || e"
+    digest = lambda where: f"coalesce(string_agg({named}, ',' ORDER BY s, kind, e) FILTER ({where}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{n}" for i, n in enumerate(secrets.NAMES[: secrets.STRONG]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+parts AS ({" UNION ALL ".join(each)}),
+weak AS (SELECT row, kind, s, e, unnest(needs) AS role FROM parts WHERE kind >= {secrets.STRONG}),
+linked AS (SELECT DISTINCT w.row, w.kind, w.s, w.e FROM weak w JOIN parts o ON w.row = o.row AND w.role = o.role
+  AND greatest(o.s - w.e, w.s - o.e) <= {secrets.SCOPE} AND (greatest(o.s - w.e, w.s - o.e) >= 0 OR w.kind = {inside} OR o.kind = {inside})),
+found AS (SELECT row, kind, s, e FROM parts WHERE kind < {secrets.STRONG} UNION ALL SELECT * FROM linked)
+SELECT any_value(d.doc_id) AS doc_id, {counts}, sha256({digest(f"kind < {secrets.STRONG}")}) AS base_sha256, {digest("kind IS NOT NULL")} AS spans
+FROM d LEFT JOIN found USING (row) GROUP BY row
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": _secrets_sql(), "op4_chat_format": _CHAT_SQL}

@@ -15,6 +15,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: An e-mail address; where a match fails, the rest of its local part isn't tried again.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+#: Four numbers of at most 255 with points between them.
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+_PART = r"0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+
+
+def is_ip(m: Column) -> Column:
+    return m.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
+
+
 @dataclass(frozen=True)
 class Kind:
     """A kind of span: matches of ``pattern`` (leftmost, non-overlapping) for which ``passes`` holds.
