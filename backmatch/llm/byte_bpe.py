@@ -92,6 +92,7 @@ class Codec:
             self.size_of[i] = len(t)
         self.decimal = {i: str(i) for i in self.bytes_of}
         self.kept: dict[str, bytes] = {}
+        self.once: set[int] = set()  # hashes of pieces
 
     def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
         """The packed ids of each piece, by the library over groups of about equal bytes."""
@@ -102,13 +103,26 @@ class Codec:
         return out
 
     def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut, kept = [cuts(t) for t in texts], self.kept
-        more = self._learn({p for c in cut for p in c if p not in kept})
-        for c in cut:
-            yield np.frombuffer(b"".join([kept[p] if p in kept else more[p] for p in c]), np.uintc)
-        if len(kept) + len(more) > KEPT:
+        cut, get = [cuts(t) for t in texts], self.kept.get
+        found = [[*map(get, c)] for c in cut]
+        more = self._learn({p for c, f in zip(cut, found, strict=True) if None in f for p, x in zip(c, f, strict=True) if x is None})
+        for c, f in zip(cut, found, strict=True):
+            yield np.frombuffer(b"".join([more[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f), np.uintc)
+        self._keep(more)
+
+    def _keep(self, more: dict[str, bytes]) -> None:
+        """Most pieces occur once, so one is kept from the second group of texts on that has it."""
+        kept, once = self.kept, self.once
+        for p, x in more.items():
+            if len(p) <= KEPT_CHARS:
+                if (h := hash(p)) in once:
+                    kept[p] = x
+                else:
+                    once.add(h)
+        if len(once) > 2 * KEPT:
+            once.clear()
+        if len(kept) > KEPT:
             kept.clear()
-        kept.update((p, x) for p, x in more.items() if len(p) <= KEPT_CHARS)
 
     def encode_batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
