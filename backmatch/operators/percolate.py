@@ -1,32 +1,41 @@
 """Percolation: the pairs (document, stored query) that match.
 
 ``anchor`` (the default) turns each document into an array of key hashes,
-explodes it and joins it with the anchor rows on the hash; a pair is taken at
-the first of the query's keys that the document has, so no distinct and no
-shuffle is needed, and the whole query is evaluated as the join's residual.
-Queries without an anchor are tried on every document.  ``cross`` tries all
-queries on all documents, ``compiled`` makes one expression of each query over
-the distinct atoms, which are evaluated once for each document.
-All three give the same set.
+explodes it and joins it with the keys of the queries' anchors; a pair is
+taken at the first of the query's keys that the document has, so no distinct
+and no shuffle is needed, and the whole query is evaluated as the join's
+residual on values that were parsed once.  Queries without an anchor become
+expressions over their distinct atoms.  ``cross`` tries all queries on all
+documents and is meant for comparison, ``compiled`` makes an expression of
+every query.  All three give the same set.
+
+``percolate`` takes queries from the driver.  ``percolate_table`` takes a
+corpus that is a DataFrame and never brings it to the driver, but for the
+queries without an anchor.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+import json
+from collections.abc import Iterable, Iterator, Mapping
 from dataclasses import replace
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import CLAUSES, clauses_match, compiled, compiled_literal, rows
-from ..plans.anchors import Anchors, choose
+from ..functions.predicates import CLAUSES, LITERAL, clauses_match, compiled, from_rows, literal_sql, needs, parsed, rows
+from ..plans.anchors import Anchors, Classes, Costs, Extractor, choose, pick, query_keys
 from ..plans.config import EngineConfig
 from ..query import Clause, Literal, Query
+from ..shipping import ship
 from ..sources.documents import field_values
 
-#: Most queries that are compiled on demand, and as the rest beside the anchor join.
-COMPILED_QUERIES, FEW = 512, 64
+#: Queries in one expression.
+COMPILED_QUERIES = 1024
+#: Estimated bytes of a key's row and of a literal.
+KEY_BYTES, LITERAL_BYTES = 64, 160
 
 _LITERAL = pa.struct([("neg", pa.bool_()), ("kind", pa.string()), ("field", pa.string()), ("val", pa.string()), ("num", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("radius", pa.int64())])
 _CLAUSES = pa.list_(pa.list_(_LITERAL))
@@ -40,8 +49,8 @@ def query_frame(spark: SparkSession, queries: Iterable[tuple[int, Query]]) -> Da
     return spark.createDataFrame(pa.table({"qid": pa.array([i for i, _ in found], pa.int64()), "clauses": pa.array([rows(q) for _, q in found], _CLAUSES)}))
 
 
-def _bounded(df: DataFrame, n: int, config: EngineConfig) -> DataFrame:
-    return F.broadcast(df) if n <= config.broadcast_rows else df
+def _bounded(df: DataFrame, size: int, config: EngineConfig) -> DataFrame:
+    return F.broadcast(df) if size <= config.broadcast_bytes else df
 
 
 def matches(query: Query, f: Column | str = "f") -> Column:
@@ -59,21 +68,39 @@ def search(docs: DataFrame, query: Query) -> DataFrame:
     return docs.where(matches(query))
 
 
-def frequent_values(docs: DataFrame, top: int = 1000) -> dict[tuple[str, str], float]:
-    """The shares of documents of the ``top`` most frequent (field, value) pairs, for choosing anchors."""
+def frequent_values(docs: DataFrame, top: int = 1000, fraction: float | None = None) -> dict[tuple[str, str], float]:
+    """The shares of documents of the ``top`` most frequent (field, value) pairs, for choosing anchors; of a sample
+    if ``fraction`` is given, as they change no answer."""
+    docs = docs if fraction is None else docs.sample(fraction, seed=7)
     pairs = field_values(docs).groupBy("field", "value").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(top).collect()
     total = docs.count()
     return {(r["field"], r["value"]): r["n"] / total for r in pairs} if total else {}
 
 
+def _literals(queries: Iterable[Query]) -> int:
+    return sum(len(c.literals) for q in queries for c in q.clauses)
+
+
 def _cross(docs: DataFrame, queries: list[tuple[int, Query]], config: EngineConfig) -> DataFrame:
-    own = _bounded(query_frame(docs.sparkSession, queries), len(queries), config)
-    return docs.join(own, clauses_match(F.col("clauses"), F.col("f")), "inner").select("doc_id", "qid")
+    fields = needs(q for _, q in queries)
+    own = _bounded(query_frame(docs.sparkSession, queries), LITERAL_BYTES * _literals(q for _, q in queries), config)
+    return parsed(docs, fields).join(own, clauses_match(F.col("clauses"), fields), "inner").select("doc_id", "qid")
+
+
+def _none(docs: DataFrame) -> DataFrame:
+    return docs.where("false").select("doc_id", F.lit(0).cast("bigint").alias("qid"))
 
 
-def _compiled(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
-    if len(queries) > COMPILED_QUERIES:
-        raise ValueError(f"{len(queries)} queries; at most {COMPILED_QUERIES} are compiled")
+def _compiled(docs: DataFrame, queries: Iterable[tuple[int, Query]]) -> DataFrame:
+    """Queries as expressions over their distinct atoms, ``COMPILED_QUERIES`` in one pass over the documents."""
+    out, left = None, iter(queries)
+    while some := list(islice(left, COMPILED_QUERIES)):
+        got = _expression(docs, some)
+        out = got if out is None else out.unionByName(got)
+    return _none(docs) if out is None else out
+
+
+def _expression(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
     atoms: dict[Literal, int] = {}
 
     def literal(x: Literal) -> str:
@@ -83,31 +110,49 @@ def _compiled(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
         return f"({' OR '.join(dict.fromkeys(map(literal, c.literals))) or 'false'})"
 
     each = [f"CASE WHEN {' AND '.join(dict.fromkeys(map(clause, q.clauses))) or 'true'} THEN {i}L END" for i, q in queries]
-    found = docs.select("doc_id", F.array(*(compiled_literal(x, F.col("f")) for x in atoms)).alias("atoms"))
+    # exploded, as a plain column would be computed again for each query
+    found = parsed(docs, needs(q for _, q in queries)).select("doc_id", F.expr(f"explode(array(CAST(array({', '.join(map(literal_sql, atoms))}) AS array<boolean>)))").alias("atoms"))
     return found.select("doc_id", F.explode(F.expr(f"array_compact(CAST(array({', '.join(each)}) AS array<bigint>))")).alias("qid"))
 
 
-def anchor_frame(spark: SparkSession, anchors: Anchors, queries: Mapping[int, Query]) -> tuple[DataFrame, int]:
-    """key, earlier (the query's keys before this one), qid, clauses; and the number of rows."""
-    tags = [(i, [k.of.tag() for k in ks], [k.text for k in ks]) for i, ks in anchors.keys.items()]
-    n = sum(len(t[1]) for t in tags)
-    base = spark.createDataFrame(pa.table({"qid": pa.array([t[0] for t in tags], pa.int64()), "tags": pa.array([t[1] for t in tags], pa.list_(pa.string())), "texts": pa.array([t[2] for t in tags], pa.list_(pa.string())), "clauses": pa.array([rows(queries[t[0]]) for t in tags], _CLAUSES)}))
-    keys = base.select("qid", "clauses", F.array_distinct(F.zip_with("tags", "texts", lambda a, b: F.xxhash64(a, b))).alias("keys"))
-    each = keys.select("qid", "clauses", "keys", F.posexplode("keys").alias("at", "key"))
-    return each.select("key", F.slice("keys", F.lit(1), F.col("at")).alias("earlier"), "qid", "clauses"), n
+def document_keys(docs: DataFrame, classes: Iterable[Classes]) -> DataFrame:
+    """The columns of a ``parsed`` document and keys, the distinct hashes that the combinations of classes find in it."""
+    classes = list(classes)
+    single = sorted({e for c in classes for e in c})
+    names = {e: f"k{i}" for i, e in enumerate(single)}
+    docs = docs.select("*", *(e.keys().alias(names[e]) for e in single))
+
+    def folded(c: Classes) -> Column:
+        got = F.col(names[c[0]])
+        for e in c[1:]:
+            got = F.flatten(F.transform(got, lambda a: F.transform(names[e], lambda b: F.xxhash64(a, b))))  # noqa: B023
+        return got
 
+    return docs.select("doc_id", "f", "fi", "fc", "fg", F.array_distinct(F.concat(*map(folded, classes))).alias("keys"))
 
-def document_keys(docs: DataFrame, anchors: Anchors) -> DataFrame:
-    """doc_id, f, keys: the distinct hashes that the anchors' classes find in each document."""
-    parts = [e.keys(F.col("f")) for e in anchors.extractors()]
-    return docs.select("doc_id", "f", F.array_distinct(F.concat(*parts)).alias("keys"))
 
+def anchor_frames(spark: SparkSession, anchors: Anchors, queries: Mapping[int, Query]) -> tuple[DataFrame, DataFrame, int, int]:
+    """key, qid, at (the key's place among the query's); qid, qkeys, clauses; and the estimated bytes of both."""
+    flat = [(k, i, at) for i, ks in anchors.keys.items() for at, k in enumerate(ks)]
+    keys = spark.createDataFrame(pa.table({"key": pa.array([x[0] for x in flat], pa.int64()), "qid": pa.array([x[1] for x in flat], pa.int64()), "at": pa.array([x[2] for x in flat], pa.int32())}))
+    ids = list(anchors.keys)
+    own = spark.createDataFrame(pa.table({"qid": pa.array(ids, pa.int64()), "qkeys": pa.array([anchors.keys[i] for i in ids], pa.list_(pa.int64())), "clauses": pa.array([rows(queries[i]) for i in ids], _CLAUSES)}))
+    return keys, own, KEY_BYTES * len(flat), LITERAL_BYTES * _literals(queries[i] for i in ids) + 8 * len(flat)
 
-def _anchored(docs: DataFrame, queries: Mapping[int, Query], anchors: Anchors, config: EngineConfig) -> DataFrame:
-    own, n = anchor_frame(docs.sparkSession, anchors, queries)
-    probe = document_keys(docs, anchors).select("doc_id", "f", "keys", F.explode_outer("keys").alias("key"))
-    first = ~F.arrays_overlap("keys", "earlier")
-    return probe.join(_bounded(own, n, config), "key").where(first & clauses_match(F.col("clauses"), F.col("f"))).select("doc_id", "qid")
+
+_FIRST = "at = 0 OR NOT arrays_overlap(keys, slice(qkeys, 1, at))"
+
+
+def _probe(docs: DataFrame, classes: Iterable[Classes]) -> DataFrame:
+    # outer, as an inner one adds a filter that computes the keys again
+    return document_keys(docs, classes).select("*", F.explode_outer("keys").alias("key"))
+
+
+def _anchored(docs: DataFrame, queries: Mapping[int, Query], anchors: Anchors, config: EngineConfig, residual: bool = True) -> DataFrame:
+    keys, own, key_bytes, own_bytes = anchor_frames(docs.sparkSession, anchors, queries)
+    fields = needs(queries[i] for i in anchors.keys)
+    got = _probe(parsed(docs, fields), anchors.classes).join(_bounded(keys, key_bytes, config), "key").join(_bounded(own, own_bytes, config), "qid").where(_FIRST)
+    return (got.where(clauses_match(F.col("clauses"), fields)) if residual else got).select("doc_id", "qid")
 
 
 def percolate(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: str = "anchor", config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
@@ -122,20 +167,68 @@ def percolate(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: s
         raise ValueError(strategy)
     by_id = dict(found)
     anchors = choose(found, config, seen)
-    parts = []
-    if anchors.keys:
-        parts.append(_anchored(docs, by_id, anchors, config))
-    if rest := [(i, by_id[i]) for i in anchors.always]:
-        parts.append(_compiled(docs, rest) if len(rest) <= FEW else _cross(docs, rest, config))
-    if not parts:
-        return _cross(docs, [], config)
+    parts = [_anchored(docs, by_id, anchors, config)] if anchors.classes else []
+    if anchors.always or not parts:
+        parts.append(_compiled(docs, ((i, by_id[i]) for i in anchors.always)))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def candidates(docs: DataFrame, queries: Iterable[tuple[int, Query]], config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
     """doc_id, qid of the anchor join before the residual, for measuring how selective anchors are."""
     found = dict(queries)
+    config = config or EngineConfig()
     anchors = choose(found.items(), config, seen)
-    own, n = anchor_frame(docs.sparkSession, anchors, found)
-    probe = document_keys(docs, anchors).select("doc_id", "keys", F.explode_outer("keys").alias("key"))
-    return probe.join(_bounded(own, n, config or EngineConfig()), "key").where(~F.arrays_overlap("keys", "earlier")).select("doc_id", "qid")
+    return _anchored(docs.select("doc_id", "f"), found, anchors, config, residual=False) if anchors.classes else _none(docs)
+
+
+def table_keys(corpus: DataFrame, config: EngineConfig, costs: Costs) -> DataFrame:
+    """qid, one and many: the combinations of classes (JSON) and the keys of each query's anchors, null without any."""
+    ship(corpus.sparkSession)
+
+    def told(keys: list[tuple[Classes, int]]) -> tuple[str, list[int]]:
+        names = sorted({c for c, _ in keys})
+        return json.dumps([[[e.kind, e.field, e.param] for e in c] for c in names]), list(dict.fromkeys(h for _, h in keys))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [query_keys(from_rows(c), config, costs) for c in b.column(1).to_pylist()]
+            one, many = ([told(getattr(k, name)) if k else (None, None) for k in got] for name in ("one", "many"))
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[i] for x in part], kind) for part in (one, many) for i, kind in enumerate((pa.string(), pa.list_(pa.int64()))))], ["qid", "one_of", "one", "many_of", "many"])
+
+    return corpus.select("qid", "clauses").mapInArrow(run, "qid bigint, one_of string, one array<bigint>, many_of string, many array<bigint>")
+
+
+def percolate_table(docs: DataFrame, corpus: DataFrame, config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+    """doc_id, qid of all matching pairs, for a corpus with qid and clauses (and active) as ``query_frame`` gives it.
+
+    The driver gets the numbers of values that queries name for each field, the combinations of classes
+    that are used, and the queries that can't be anchored.
+    """
+    config = config or EngineConfig()
+    corpus = corpus.where("active") if "active" in corpus.columns else corpus
+    literals = corpus.select(F.explode(F.flatten("clauses")).alias("l")).select("l.*")
+    fields: dict[str, set[str]] = {}
+    for r in literals.select("kind", "field").distinct().collect():  # bounded by the fields of documents
+        fields.setdefault(r["kind"], set()).add(r["field"])
+    named = literals.where("kind = 'term'").groupBy("field").agg(F.approx_count_distinct("val").alias("n")).collect()
+    keys = table_keys(corpus, config, Costs(seen, {r["field"]: r["n"] for r in named}))
+    told = lambda text: frozenset(tuple(Extractor(*e) for e in c) for c in json.loads(text))
+    used = {r["many_of"]: (told(r["many_of"]), r["n"]) for r in keys.where("one_of IS NOT NULL").groupBy("many_of").agg(F.count("*").alias("n")).collect()}
+    picked = pick({c: n for c, n in used.values() if any(len(x) > 1 for x in c)})
+    wide = [text for text, (c, _) in used.items() if c in picked]
+    chosen = keys.select("qid", F.when(F.col("many_of").isin(wide), F.col("many")).otherwise(F.col("one")).alias("qkeys"), F.when(F.col("many_of").isin(wide), F.col("many_of")).otherwise(F.col("one_of")).alias("of"))
+    classes = set().union(*(told(r["of"]) for r in chosen.where("of IS NOT NULL").select("of").distinct().collect()))
+    docs = docs.select("doc_id", "f")
+    always = chosen.where("qkeys IS NULL").join(corpus.select("qid", "clauses"), "qid").select("qid", "clauses")
+    out = _compiled(docs, ((r["qid"], from_rows(r["clauses"])) for r in always.toLocalIterator()))
+    if not classes:
+        return out
+    anchored = chosen.where("qkeys IS NOT NULL")
+    n_keys, n_literals = anchored.join(corpus.select("qid", F.size(F.flatten("clauses")).alias("n")), "qid").agg(F.sum(F.size("qkeys")), F.sum("n")).first()
+    rows_ = _bounded(anchored.select("qid", F.posexplode("qkeys").alias("at", "key")), KEY_BYTES * n_keys, config)
+    own = _bounded(anchored.select("qid", "qkeys").join(corpus.select("qid", "clauses"), "qid"), LITERAL_BYTES * n_literals + 8 * n_keys, config)
+    got = _probe(parsed(docs, fields), sorted(classes)).join(rows_, "key").join(own, "qid").where(_FIRST)
+    return got.where(clauses_match(F.col("clauses"), fields)).select("doc_id", "qid").unionByName(out)
+
+
+__all__ = ["CLAUSES", "LITERAL", "anchor_frames", "candidates", "document_keys", "frequent_values", "match_all", "matches", "percolate", "percolate_table", "query_frame", "search", "table_keys"]

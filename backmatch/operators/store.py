@@ -20,7 +20,7 @@ from ..functions.predicates import from_rows
 from ..plans.config import EngineConfig
 from ..query import Query
 from . import stats
-from .percolate import percolate, query_frame
+from .percolate import frequent_values, percolate, percolate_table, query_frame
 
 
 class PercolatorError(ValueError):
@@ -46,6 +46,7 @@ class Percolator:
         self._log: dict[int, Stored] = {}
         self._qids: dict[Hashable, int] = {}
         self._next = 0
+        self.seen: dict[tuple[str, str], float] | None = None  # shares of documents of frequent values
 
     @staticmethod
     def builder(**settings) -> Percolator:
@@ -84,7 +85,12 @@ class Percolator:
             self._next += 1
         return self._append(None, q)
 
-    safe_add_query = add_query
+    def safe_add_query(self, q: Query) -> int | PercolatorError:
+        """As ``add_query``, but an error is returned and nothing is stored."""
+        try:
+            return self.add_query(q)
+        except PercolatorError as e:
+            return e
 
     def index_query_uid(self, q: Query, uid: Hashable) -> Hashable:
         """Store under an id of one's own; a query that has it is replaced."""
@@ -116,20 +122,23 @@ class Percolator:
         """Live queries only, with their ids; new ids go on from where they were."""
         out = Percolator(config or self.config)
         out._log = dict(self.live())
-        out._qids, out._next = dict(self._qids), self._next
+        out._qids, out._next, out.seen = dict(self._qids), self._next, self.seen
         return out
 
-    def optimized(self) -> Percolator:
-        """Compacted, with the configuration that the statistics recommend."""
+    def optimized(self, docs: DataFrame | None = None, fraction: float | None = None) -> Percolator:
+        """Compacted, with the configuration that the statistics recommend; with some documents (or a share
+        of them), their frequent values choose the anchors from then on."""
         s = self.stats()
-        return self.compacted(EngineConfig(**asdict(self.config) | {"n_clause_matchers": s.recommended_cmcount(), "prefix_sizes": tuple(max(1, x) for x in s.recommended_prefix_sizes())}))
+        out = self.compacted(EngineConfig(**asdict(self.config) | {"n_clause_matchers": s.recommended_cmcount(), "prefix_sizes": tuple(max(1, x) for x in s.recommended_prefix_sizes())}))
+        out.seen = self.seen if docs is None else frequent_values(docs, fraction=fraction)
+        return out
 
     def holes_ratio(self) -> float:
         """Removed queries over all in the log; not a number when it is empty."""
         return sum(not s.active for s in self._log.values()) / len(self._log) if self._log else math.nan
 
     def stats(self) -> stats.Stats:
-        return stats.Stats.of((s.query, s.active) for s in self._log.values())
+        return stats.Stats.of(((s.query, s.active) for s in self._log.values()), self.config.n_clause_matchers)
 
     def queries(self) -> list[tuple[int, Query]]:
         return [(i, s.query) for i, s in self.live()]
@@ -141,18 +150,18 @@ class Percolator:
 
     def percolate(self, docs: DataFrame, strategy: str = "anchor", seen=None) -> DataFrame:
         """doc_id, uid of all matching pairs.  Ids of one's own come back in their type, if all have one."""
-        got = percolate(docs, self.queries(), strategy, self.config, seen)
+        got = percolate(docs, self.queries(), strategy, self.config, self.seen if seen is None else seen)
         uids = {i: s.uid for i, s in self.live()}
         if all(i == u for i, u in uids.items()):
             return got.select("doc_id", F.col("qid").alias("uid"))
         same = {type(u) for u in uids.values()}
         kind = "bigint" if same == {int} else "string"
         ids = docs.sparkSession.createDataFrame([(i, u if kind == "bigint" else str(u)) for i, u in uids.items()], f"qid bigint, uid {kind}")
-        return got.join(F.broadcast(ids) if len(uids) <= self.config.broadcast_rows else ids, "qid").select("doc_id", "uid")
+        return got.join(F.broadcast(ids) if 128 * len(uids) <= self.config.broadcast_bytes else ids, "qid").select("doc_id", "uid")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.frame(spark).write.mode("overwrite").parquet(f"{path}/queries")
-        meta = json.dumps({"config": asdict(self.config), "next": self._next})
+        meta = json.dumps({"config": asdict(self.config), "next": self._next, "seen": self.seen and [[*k, v] for k, v in self.seen.items()]})
         spark.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/config")
 
     @staticmethod
@@ -166,7 +175,18 @@ class Percolator:
             if r["active"]:
                 out._qids[uid] = r["qid"]
         out._next = meta["next"]
+        out.seen = meta["seen"] and {(k, v): share for k, v, share in meta["seen"]}
         return out
 
+    @staticmethod
+    def percolate_saved(docs: DataFrame, path: str) -> DataFrame:
+        """doc_id, uid (JSON) of all matching pairs with a saved corpus, which stays a table."""
+        spark = docs.sparkSession
+        meta = json.loads(spark.read.text(f"{path}/config").first()[0])
+        config = EngineConfig(**meta["config"] | {"prefix_sizes": tuple(meta["config"]["prefix_sizes"])})
+        corpus = spark.read.parquet(f"{path}/queries").where("active")
+        got = percolate_table(docs, corpus, config, meta["seen"] and {(k, v): share for k, v, share in meta["seen"]})
+        return got.join(corpus.select("qid", "uid"), "qid").select("doc_id", "uid")
+
     def __str__(self) -> str:
         return f"Percolator-{len(self)}Qs/{self.config.n_clause_matchers}CMs"

@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-#: Relative costs of anchoring on an atom, where nothing is known about the documents.
-COSTS = {"term": 10, "eq": 50, "h3": 900, "prefix": 1000, "geo": 1000, "lt": 3000, "le": 3000, "ge": 3000, "gt": 3000}
+#: Relative costs of a literal's kind, of a negated one and of the clause that matches all.
+COSTS = {"term": 10, "h3": 900, "prefix": 1000, "geo": 1000, "lt": 1000, "le": 1000, "eq": 1000, "ge": 1000, "gt": 1000, "all": 10_000}
+NEGATED = 100_000
+#: Cost of an atom that every document satisfies, for atoms whose share of documents is known or estimated.
+WHOLE = 10_000
+
+
+def literal_cost(kind: str, negated: bool = False, share: float | None = None) -> float:
+    """The cost of a literal by its kind, at least that of the share of documents it lets through."""
+    return NEGATED if negated else COSTS[kind] if share is None else max(COSTS["term"], share * WHOLE)
 
 
 @dataclass(frozen=True)
 class EngineConfig:
+    #: Most clauses of a query that one anchor combines.
     n_clause_matchers: int = 3
     prefix_sizes: tuple[int, ...] = (2, 10, 100, 1000, 2000)
-    #: Anchor rows that may be broadcast; beyond it the join shuffles on the key.
-    broadcast_rows: int = 500_000
+    #: Estimated bytes of keys, and of queries, that may be broadcast; beyond it the joins shuffle.
+    broadcast_bytes: int = 128 << 20
     #: Most clauses and literals of one query, and the longest prefix.
     max_clauses: int = 100_000
     max_literals: int = 1_000_000
