@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,16 +17,25 @@ from . import parser
 from .functions import geo
 from .operators import percolate as P
 from .operators import stats
-from .operators.store import Percolator
-from .query import INT_KINDS, Query, field
+from .operators.store import Percolator, PercolatorError
+from .query import INT_KINDS, Clause, Query, field
 from .sources import documents as D
 from .streaming.percolate import percolate_stream
+from .testing import random_ast
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names; only a session on one machine may do without it."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return f"{at or tempfile.mkdtemp()}/engine-{random.randrange(2**60)}"
+
+
 # -- SQL of queries
 
 _quoted = lambda s: "'" + s.replace("'", "''") + "'"
@@ -170,6 +179,28 @@ QUERIES["search_dual"] = lambda spark, sf: P.search(docs_of(spark, sf, "document
 ORACLE_SQL["search_dual"] = f"SELECT doc_id FROM documents WHERE {sql_predicate(_DUAL, VIEWS['documents'][3])}"
 
 
+_register("match_all_atom", "events", [q for m in [Query((Clause.match_all(),))] for q in (m, m & _type.has_value("error"), ~m, m | _type.has_value("view"))])
+_register("from_clauses", "part", [Query((Clause.from_clauses([*_brand.has_value("Brand#11").clauses, *(~_size.i64_lt(45)).clauses, *_name.has_prefix("small").clauses]),))])
+_register("from_clauses_twice", "part", [Query((Clause.from_clauses([*_size.i64_eq(7).clauses, *_size.i64_eq(7).clauses]).cleansed(),)), Query((Clause(()),))])
+
+
+def _random_formulas(n: int) -> list[Query]:
+    """Random formulas over the fields of ``part``, of every operator that fits them."""
+    rng = random.Random(5)
+    texts = {"name": ("small ring", "s", "large", "medium b"), "brand": ("Brand#11", "Brand#2", "Brand#33", "B"), "type": ("ECONOMY", "PROMO", "STANDARD", "S")}
+
+    def atom(r: random.Random) -> parser.Atom:
+        if r.random() < 0.45:
+            return parser.Atom(r.choice(("size", "odd")), r.choice(("<", "<=", "=", ">=", ">")), parser.Value("integer", r.randrange(-1, 52)))
+        name = r.choice(list(texts))
+        return parser.Atom(name, ":", parser.Value(r.choice(("term", "prefix", "prefix")), r.choice(texts[name])))
+
+    return [random_ast(rng, rng.randint(1, 4), atom).to_query() for _ in range(n)]
+
+
+_register("random_queries", "part", _random_formulas(60))
+
+
 # -- multi-valued documents
 
 _PRIORITY = field("priority")
@@ -240,7 +271,7 @@ def _compact(spark: SparkSession, sf: str) -> DataFrame:
 def _roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     p = _stored()
     p.remove_uid(30)
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/corpus-{random.randrange(2**60)}"
+    at = scratch(spark)
     p.save(spark, at)
     return Percolator.load(spark, at).percolate(docs_of(spark, sf, "events"))
 
@@ -254,6 +285,131 @@ for _n, _f, _live in (("upsert", _upsert, {10: _B, 20: _B, 30: _C}), ("remove",
     ORACLE_SQL[_n] = _store_sql(_live)
 
 
+def _string_ids(spark: SparkSession, sf: str) -> DataFrame:
+    p = Percolator()
+    for uid, q in (("clicks", _A), ("views <30", _B), ("é", _C)):
+        p.index_query_uid(q, uid)
+    return p.percolate(docs_of(spark, sf, "events"))
+
+
+def _mixed_ids(spark: SparkSession, sf: str) -> DataFrame:
+    p = Percolator()
+    for uid, q in ((7, _A), ("seven", _B)):
+        p.index_query_uid(q, uid)
+    return p.percolate(docs_of(spark, sf, "events"))
+
+
+def _add_query(spark: SparkSession, sf: str) -> DataFrame:
+    p = Percolator()
+    p.index_query_uid(_C, 1)  # an id that add_query must pass over
+    ids = [p.add_query(q) for q in (_A, _B)]
+    found = spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "uid bigint, place bigint")
+    return p.percolate(docs_of(spark, sf, "events")).join(F.broadcast(found), "uid")
+
+
+def _builder(spark: SparkSession, sf: str) -> DataFrame:
+    out = None
+    for k, settings in enumerate(({"n_clause_matchers": 1}, {"n_clause_matchers": 2, "prefix_sizes": (1, 3)}, {"broadcast_bytes": 0})):
+        p = Percolator.builder(**settings)
+        for q in (_name.has_prefix("small") & _size.i64_lt(20), _ptype.has_prefix("ST") | _brand.has_value("Brand#11")):
+            p.add_query(q)
+        got = p.percolate(docs_of(spark, sf, "part")).withColumn("settings", F.lit(k).cast("bigint"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _optimized(spark: SparkSession, sf: str) -> DataFrame:
+    """With frequent values of half of the documents, saved, and matched as a table."""
+    p, docs, at = _stored(), docs_of(spark, sf, "events"), scratch(spark)
+    p.optimized(docs, fraction=0.5).save(spark, at)
+    return Percolator.percolate_saved(docs, at).select("doc_id", F.col("uid").cast("bigint").alias("uid"))
+
+
+for _n, _f, _live in (("string_ids", _string_ids, {"'clicks'": _A, "'views <30'": _B, "'é'": _C}), ("mixed_ids", _mixed_ids, {"'7'": _A, "'seven'": _B}), ("optimized_saved", _optimized, {10: _A, 20: _B, 30: _C})):
+    QUERIES[_n] = _f
+    ORACLE_SQL[_n] = "\nUNION ALL\n".join(f"SELECT event_id AS doc_id, {u}{'::BIGINT' if isinstance(u, int) else ''} AS uid FROM events WHERE {sql_predicate(q, VIEWS['events'][3])}" for u, q in _live.items())
+QUERIES["add_query"] = _add_query
+ORACLE_SQL["add_query"] = "\nUNION ALL\n".join(f"SELECT event_id AS doc_id, {u}::BIGINT AS uid, {k}::BIGINT AS place FROM events WHERE {sql_predicate(q, VIEWS['events'][3])}" for k, (u, q) in enumerate(((2, _A), (3, _B))))
+QUERIES["builder"] = _builder
+ORACLE_SQL["builder"] = "\nUNION ALL\n".join(f"SELECT p_partkey AS doc_id, {i}::BIGINT AS uid, {k}::BIGINT AS settings FROM part WHERE {sql_predicate(q, VIEWS['part'][3])}" for k in range(3) for i, q in enumerate((_name.has_prefix("small") & _size.i64_lt(20), _ptype.has_prefix("ST") | _brand.has_value("Brand#11"))))
+
+QUERIES["percolate_table"] = lambda spark, sf: P.percolate_table(docs_of(spark, sf, "part"), _corpus(spark, sf).where("qid <= 60"))
+ORACLE_SQL["percolate_table"] = "SELECT d.p_partkey AS doc_id, q.p_partkey AS qid FROM part d JOIN part q ON q.p_partkey <= 60 AND q.p_partkey % 5 <> 0 AND d.p_brand = q.p_brand AND d.p_size < q.p_size AND (q.p_partkey % 3 <> 0 OR starts_with(d.p_name, q.p_name) = (q.p_partkey % 2 <> 0))"
+
+_RARE = [(0, _type.has_value("click") & _user.has_value("7")), (1, _type.has_value("view") & _kf.i64_eq(3)), (2, _user.has_prefix("99") & ~_type.has_value("view"))]
+QUERIES["candidates"] = lambda spark, sf: P.candidates(docs_of(spark, sf, "events"), _RARE[:2], seen={("type", "click"): 0.2, ("type", "view"): 0.2})
+ORACLE_SQL["candidates"] = sql_union(_RARE[:2], "events", "event_id", VIEWS["events"][3])  # plain values leave no false candidate
+QUERIES["candidates_hold_all_matches"] = lambda spark, sf: P.percolate(docs_of(spark, sf, "events"), _RARE).join(P.candidates(docs_of(spark, sf, "events"), _RARE), ["doc_id", "qid"], "left_semi")
+ORACLE_SQL["candidates_hold_all_matches"] = sql_union(_RARE, "events", "event_id", VIEWS["events"][3])
+
+
+# -- what the driver does with single queries and documents, for each nation
+
+def _per_nation(spark: SparkSession, sf: str, schema: str, rows: Callable[[int, str], Iterable[tuple]]) -> DataFrame:
+    """``rows`` of each nation's key and name; there are 25 of them at any scale."""
+    found = table(spark, sf, "nation").select("n_nationkey", "n_name").orderBy("n_nationkey").collect()
+    return spark.createDataFrame([r for k, n in found for r in rows(k, n)], schema)
+
+
+def _register_nations(name: str, schema: str, rows: Callable[[int, str], Iterable[tuple]], sql: str) -> None:
+    QUERIES[name] = lambda spark, sf: _per_nation(spark, sf, schema, rows)
+    ORACLE_SQL[name] = sql
+
+
+_nation = field("nation")
+_register_nations("display", "k int, shown string", lambda k, n: [(k, str(((~_nation.has_value(n)) | field("area").i64_ge(k)) & field("code").has_prefix(n[:2])))], "SELECT n_nationkey AS k, '(AND (OR area>=' || n_nationkey || ' ~nation=' || n_name || ') (OR code=' || n_name[1:2] || '*))' AS shown FROM nation")
+_register_nations("equality", "k int, same boolean, swapped boolean", lambda k, n: [(k, (_nation.has_value(n) & _kf.i64_eq(k)) == (_nation.has_value(n) & _kf.i64_eq(k % 10)), (_nation.has_value(n) & _kf.i64_eq(k)) == (_kf.i64_eq(k) & _nation.has_value(n)))], "SELECT n_nationkey AS k, n_nationkey < 10 AS same, false AS swapped FROM nation")
+_register_nations("prefix_queries", "k int, prefix string", lambda k, n: [(k, x.val) for x in ((_nation.has_prefix(n[:3]) | _kf.i64_eq(k)) & ~_nation.has_prefix(n)).prefix_queries()], "SELECT n_nationkey AS k, unnest([n_name[1:3], n_name]) AS prefix FROM nation")
+_register_nations("ast_display", "k int, shown string", lambda k, n: [(k, str(parser.parse_ast(f'a:{n.split()[0]} AND  NOT(b<{k} OR c:"{n} ""*)'.replace('""', '\\""'))))], """SELECT n_nationkey AS k, '( a:' || string_split(n_name, ' ')[1] || ' AND NOT ( b<' || n_nationkey || ' OR c:"' || n_name || ' \\""* ) )' AS shown FROM nation""")
+_register_nations("get_query", "k int, shown string, missing boolean", lambda k, n: [(k, str(_nations()[0].get_query(f"id-{k % 3}")), _nations()[0].safe_get_query(n) is None)], "SELECT n_nationkey AS k, '(AND (OR n==' || n_nationkey % 3 || '))' AS shown, true AS missing FROM nation")
+_register_nations("safe_add", "k int, added boolean, kind string", lambda k, n: [(k, not isinstance(got, PercolatorError), getattr(got, "kind", None)) for got in [Percolator.builder(max_prefix=6).safe_add_query(_nation.has_prefix(n))]], "SELECT n_nationkey AS k, length(n_name) <= 6 AS added, CASE WHEN length(n_name) > 6 THEN 'prefix_too_long' END AS kind FROM nation")
+
+
+def _nations() -> tuple[Percolator]:
+    p = Percolator()
+    for k in range(3):
+        p.index_query_uid(field("n").i64_eq(k), f"id-{k}")
+    return (p,)
+
+
+def _built_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents made value by value; that of a region without a name stays empty."""
+    found = table(spark, sf, "nation").collect()
+    docs = [(r["n_nationkey"], D.Document().with_value("nation", r["n_name"]).with_value("region", r["n_regionkey"]).with_value("region", r["n_regionkey"])) for r in found]
+    return D.documents(spark, [*docs, (-1, D.Document())])
+
+
+QUERIES["with_value"] = lambda spark, sf: D.field_values(_built_documents(spark, sf))
+ORACLE_SQL["with_value"] = "SELECT n_nationkey::BIGINT AS doc_id, 'nation' AS field, n_name AS value FROM nation UNION ALL SELECT n_nationkey, 'region', n_regionkey::VARCHAR FROM nation, range(2)"
+_ABOUT = [(0, field("nation").has_prefix("")), (1, ~field("nation").has_prefix("")), (2, ~field("region").i64_eq(1)), (3, Query())]
+QUERIES["empty_document"] = lambda spark, sf: P.percolate(_built_documents(spark, sf), _ABOUT)
+ORACLE_SQL["empty_document"] = "WITH d AS (SELECT n_nationkey::BIGINT AS doc_id, n_regionkey AS r FROM nation UNION ALL SELECT -1, NULL) SELECT doc_id, 0::BIGINT AS qid FROM d WHERE r IS NOT NULL UNION ALL SELECT doc_id, 1 FROM d WHERE r IS NULL UNION ALL SELECT doc_id, 2 FROM d WHERE coalesce(r, 0) <> 1 UNION ALL SELECT doc_id, 3 FROM d"
+
+
+def _to_clause(spark: SparkSession, sf: str) -> DataFrame:
+    """A document's values as one clause, by which other documents are found."""
+    probes = enumerate(D.Document.of(p).to_clause() for p in ([("segment", "BUILDING"), ("segment", "MACHINERY")], [("segment", "HOUSEHOLD"), ("none", "x")], []))
+    return P.percolate(docs_of(spark, sf, "customer"), [(i, Query((c,))) for i, c in probes])
+
+
+QUERIES["to_clause"] = _to_clause
+ORACLE_SQL["to_clause"] = "SELECT c_custkey AS doc_id, CASE c_mktsegment WHEN 'HOUSEHOLD' THEN 1 ELSE 0 END::BIGINT AS qid FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'HOUSEHOLD')"
+
+
+def _store_of_parts(spark: SparkSession, sf: str) -> Percolator:
+    """A query for each of the first 1,000 parts; every fifth is removed."""
+    p = Percolator()
+    for r in table(spark, sf, "part").where("p_partkey <= 1000").select("p_partkey", "p_size").collect():
+        p.index_query_uid(_size.i64_eq(r["p_size"]), r["p_partkey"])
+        if r["p_partkey"] % 5 == 0:
+            p.remove_uid(r["p_partkey"])
+    return p
+
+
+QUERIES["holes_ratio"] = lambda spark, sf: spark.createDataFrame([(round(p.holes_ratio(), 9), round(p.compacted().holes_ratio(), 9), str(p)) for p in [_store_of_parts(spark, sf)]], "holes double, compacted double, shown string")
+ORACLE_SQL["holes_ratio"] = "SELECT round(avg((p_partkey % 5 = 0)::INT), 9) AS holes, 0.0::DOUBLE AS compacted, 'Percolator-' || count(*) FILTER (p_partkey % 5 <> 0) || 'Qs/3CMs' AS shown FROM part WHERE p_partkey <= 1000"
+
+
 # -- statistics of a corpus made of a table: a query for each part
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
@@ -271,13 +427,33 @@ QUERIES["stats_prefixes"] = lambda spark, sf: stats.prefix_histogram(_corpus(spa
 ORACLE_SQL["stats_prefixes"] = "SELECT CASE WHEN n < 1 THEN -1 WHEN n >= 100 THEN 4 ELSE floor((n - 1) / 24.75) END::BIGINT AS bin, count(*) AS n FROM (SELECT strlen(p_name) AS n FROM part WHERE p_partkey % 3 = 0) GROUP BY 1"
 
 
+_EXTRA = "(p_partkey % 3 = 0 AND p_partkey % 2 = 1)::BIGINT"  # an anchor by prefix, beside that by size
+QUERIES["stats_preheaters"] = lambda spark, sf: stats.preheater_count(_corpus(spark, sf))
+ORACLE_SQL["stats_preheaters"] = f"SELECT 1 + max({_EXTRA}) AS n_preheaters FROM part"
+QUERIES["stats_preheaters_per_query"] = lambda spark, sf: stats.preheater_histogram(_corpus(spark, sf))
+ORACLE_SQL["stats_preheaters_per_query"] = f"SELECT 1 + {_EXTRA} AS n_preheaters, count(*) AS n_queries FROM part GROUP BY 1"
+QUERIES["stats_costs"] = lambda spark, sf: stats.clause_costs(_corpus(spark, sf))
+ORACLE_SQL["stats_costs"] = "SELECT p_partkey AS qid, unnest([0, 1, 2])::BIGINT AS at, unnest([10, 1000, CASE WHEN p_partkey % 2 = 0 THEN 100000 ELSE 1000 END])::BIGINT AS cost FROM part WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, unnest([0, 1]), unnest([10, 1000]) FROM part WHERE p_partkey % 3 <> 0"
+_rounded = lambda df: df.select("what", "count", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), "min", "max")
+QUERIES["stats_report"] = lambda spark, sf: _rounded(stats.report(_corpus(spark, sf)))
+ORACLE_SQL["stats_report"] = f"SELECT what, count(*) AS count, round(avg(n), 6) AS mean, round(stddev_pop(n), 6) AS stddev, min(n) AS min, max(n) AS max FROM (SELECT 'clauses per query' AS what, CASE WHEN p_partkey % 3 = 0 THEN 3 ELSE 2 END::BIGINT AS n FROM part UNION ALL SELECT 'further keys per query', 1 + {_EXTRA} FROM part UNION ALL SELECT 'prefix bytes', strlen(p_name) FROM part WHERE p_partkey % 3 = 0) GROUP BY what"
+QUERIES["recommend_clause_matchers"] = lambda spark, sf: stats.recommended_cmcount(_corpus(spark, sf))
+ORACLE_SQL["recommend_clause_matchers"] = "SELECT CASE WHEN avg((p_partkey % 3 <> 0)::INT) >= 0.9 THEN 2 ELSE 3 END::BIGINT AS n_clause_matchers FROM part"
+QUERIES["recommend_prefix_sizes"] = lambda spark, sf: stats.recommended_prefix_sizes(_corpus(spark, sf))
+ORACLE_SQL["recommend_prefix_sizes"] = "SELECT DISTINCT CASE WHEN bin < 0 THEN 0 ELSE ceil(1 + bin * 24.75) END::BIGINT AS prefix_size FROM (" + ORACLE_SQL["stats_prefixes"] + " ORDER BY n DESC, bin DESC LIMIT 4)"
+QUERIES["stats_driver"] = lambda spark, sf: spark.createDataFrame([(s.n_queries, s.n_queries_removed, s.n_preheaters, s.clauses_per_query.max(), s.recommended_cmcount()) for s in [_store_of_parts(spark, sf).stats()]], "n_queries bigint, n_queries_removed bigint, n_preheaters bigint, most_clauses bigint, n_clause_matchers bigint")
+ORACLE_SQL["stats_driver"] = "SELECT count(*) AS n_queries, count(*) FILTER (p_partkey % 5 = 0) AS n_queries_removed, 1::BIGINT AS n_preheaters, 1::BIGINT AS most_clauses, 1::BIGINT AS n_clause_matchers FROM part WHERE p_partkey <= 1000"
+QUERIES["frequent_values"] = lambda spark, sf: spark.createDataFrame([(f, v, round(x, 9)) for (f, v), x in P.frequent_values(docs_of(spark, sf, "events").select("doc_id", F.map_filter("f", lambda k, v: k == "type").alias("f"))).items()], "field string, value string, share double")
+ORACLE_SQL["frequent_values"] = "SELECT 'type' AS field, event_type AS value, round(count(*) / (SELECT count(*) FROM events), 9)::DOUBLE AS share FROM events GROUP BY event_type"
+
+
 # -- streaming
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
     """All of ``events`` through a stream, its output read back."""
     key, fields, name, _ = VIEWS["events"]
     schema = table(spark, sf, name).schema
-    at = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp()}/stream-{random.randrange(2**60)}"
+    at = scratch(spark)
     source = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
     out = percolate_stream(D.to_documents(source, key, _columns(fields)), enumerate(map(parser.parse_query, _TEXTS)))
     out.writeStream.format("parquet").option("checkpointLocation", f"{at}/log").option("path", f"{at}/out").trigger(availableNow=True).start().awaitTermination()

@@ -8,6 +8,10 @@ Names and bare values are made of syllables in lower case and never keywords.
 from __future__ import annotations
 
 import random
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .functions.geo import PENTAGONS
 from .parser import Atom, Both, Not, Value
@@ -60,8 +64,9 @@ def random_atom(rng: random.Random) -> Atom:
     return Atom(random_name(rng), op, kinds[of or op]())
 
 
-def random_ast(rng: random.Random, atoms: int | None = None):
-    parts: list = [random_atom(rng) for _ in range(rng.randint(1, 4) if atoms is None else atoms)]
+def random_ast(rng: random.Random, atoms: int | None = None, atom: Callable[[random.Random], Atom] = random_atom):
+    """A formula of some atoms; ``atom`` draws each of them."""
+    parts: list = [atom(rng) for _ in range(rng.randint(1, 4) if atoms is None else atoms)]
     while True:
         i = rng.randrange(len(parts))
         if rng.random() < 0.15:
@@ -112,3 +117,14 @@ def random_offer_query(rng: random.Random) -> Query:
 def random_offer(rng: random.Random) -> Document:
     name = rng.choice(list(ATTRIBUTES))
     return Document.of([("place", f"place-{rng.randrange(PLACES)}"), ("flavour", rng.choice(FLAVOURS)), (name, rng.choice(ATTRIBUTES[name][0])), ("cost", str(rng.randrange(*COSTS)))])
+
+
+def offers(ids: DataFrame, key: str) -> DataFrame:
+    """doc_id and f as ``random_offer`` makes them, drawn from hashes of the ids where they are."""
+    draw = lambda salt, n: F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(n)).cast("int")
+    pick = lambda salt, xs: F.element_at(F.array(*map(F.lit, xs)), draw(salt, len(xs)) + 1)
+    names = list(ATTRIBUTES)
+    third = F.struct(pick("name", names).alias("name"), F.element_at(F.array(*(pick("value", ATTRIBUTES[n][0]) for n in names)), draw("name", len(names)) + 1).alias("value"))
+    fields = {"place": F.concat(F.lit("place-"), draw("place", PLACES)), "flavour": pick("flavour", FLAVOURS), "cost": (F.lit(COSTS[0]) + draw("cost", COSTS[1] - COSTS[0])).cast("string")}
+    entries = [F.struct(F.lit(k).alias("k"), F.array(v).alias("v")) for k, v in fields.items()] + [F.struct(third["name"].alias("k"), F.array(third["value"]).alias("v"))]
+    return ids.select(F.col(key).cast("bigint").alias("doc_id"), F.map_from_entries(F.array(*entries)).alias("f"))
