@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from backmatch.llm.byte_bpe import encode_documents
-from backmatch.llm.common import checkpoint_folder, table
+from backmatch.llm.common import checkpoint_folder, delete_folder, table
 from backmatch.llm.decontamination import drop_contaminated
 from backmatch.llm.quality import keep_good
 from backmatch.llm.secrets import redact
@@ -51,13 +51,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what passes between them is written in the shared folder."""
+    """All stages over ``documents``.  What passes between them is written in the shared folder and deleted
+    once the next stage is written; the rows that the last stage reads stay, as it's only run by the caller."""
     docs = table(spark, sf_dir, "documents")
     at = f"{checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{at}/{k}-{name}")
-        docs = spark.read.parquet(f"{at}/{k}-{name}")
+        if before:
+            delete_folder(spark, before)
+        before = f"{at}/{k}-{name}"
+        docs = spark.read.parquet(before)
     return docs
