@@ -26,10 +26,10 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str = "n", how:
     """``rows`` joined with ``unique``, which has one row for each key and the number ``n`` of ``rows`` with it.
 
     Keys of more than ``HUB_ROWS`` rows are at most the number of rows over that, so they are broadcast
-    and no task gets all rows of one.
+    and no task gets all rows of one.  ``unique`` should be cheap to read (checkpointed).
     """
     hub = HUB_ROWS if hub is None else hub
-    hubs = checkpointed(unique.where(F.col(n) > hub))
+    hubs = unique.where(F.col(n) > hub)
     rest = unique.where(F.col(n) <= hub).drop(n)
     if hubs.isEmpty():
         return rows.join(bounded(rest), key, how)

@@ -33,12 +33,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches, table
+from .common import arrow_batches, lean, table
 from .token_counts import balanced, default_path
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Pieces kept per worker, their longest, and code points of texts whose pieces are encoded together.
-KEPT, KEPT_CHARS, TOGETHER = 250_000, 32, 1 << 20
+KEPT, KEPT_CHARS, TOGETHER = 60_000, 32, 1 << 19
 
 
 def byte_characters() -> list[str]:
@@ -232,7 +232,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
                 ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * ids, *["offsets_sha256"] * offsets],
             )
 
-    return docs.select("doc_id", "text", *keep).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *keep).mapInArrow(lean(run), schema)
 
 
 def _running(lengths: Iterable[int]) -> Iterator[int]:

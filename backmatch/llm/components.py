@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import join_unique
+from .buckets import HUB_ROWS, join_unique
 from .common import checkpointed
 
 
@@ -22,12 +22,16 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return r[0], r[1] or 0
 
 
-def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
+def _star(edges: DataFrame, n: int, large: bool, hub: int) -> DataFrame:
     """Join the neighbours of each node to the smallest of them: the larger neighbours in a
-    large star, the smaller ones and the node itself in a small star."""
+    large star, the smaller ones and the node itself in a small star.  ``edges`` has ``n`` rows at most."""
     near = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = checkpointed(near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
-    got = join_unique(near, least, "u", hub=hub)
+    least = near.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    if n * 2 <= hub:  # no node can be a hub
+        got = near.join(least.drop("n"), "u")
+    else:
+        least = checkpointed(least)
+        got = join_unique(near, least, "u", hub=hub)
     if large:
         moved = got.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -38,10 +42,13 @@ def _star(edges: DataFrame, large: bool, hub: int | None) -> DataFrame:
 def components(edges: DataFrame, hub: int | None = None) -> DataFrame:
     """node, component (smallest node that can be reached) for each node on an edge that isn't
     the smallest itself.  ``edges`` has long columns u, v."""
+    hub = HUB_ROWS if hub is None else hub
     now = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
     while state[0]:
-        now = checkpointed(_star(checkpointed(_star(now, True, hub)), False, hub))
+        once = _star(now, state[0], True, hub)
+        once = once if state[0] * 2 <= hub else checkpointed(once)
+        now = checkpointed(_star(once, state[0], False, hub))  # a star has no more edges than before
         before, state = state, _state(now)
         if state == before:
             break

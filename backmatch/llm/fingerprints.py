@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded, checkpointed, table, text_hash
+from .common import arrow_batches, bounded, checkpointed, lean, table, text_hash
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -146,7 +146,7 @@ def fingerprints(docs: DataFrame, range_chars: int | None = None) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("key"), text_hash().alias("hash")).withColumn("part", part)
     rows = rows.select(F.explode(sent).alias("to"), "doc_id", "key", "hash", "text").select("to.part", "to.copy", "doc_id", "key", "hash", "text")
     # in the last range the wrapping row comes after the one of a next range, which it has none of
-    return rows.repartitionById(slots[-1] + 1, F.col("part")).sortWithinPartitions("copy", "key", "hash", "text").select("part", "copy", "doc_id", "text").mapInArrow(_stream, SCHEMA)
+    return rows.repartitionById(slots[-1] + 1, F.col("part")).sortWithinPartitions("copy", "key", "hash", "text").select("part", "copy", "doc_id", "text").mapInArrow(lean(_stream), SCHEMA)
 
 
 def canonical_texts(docs: DataFrame) -> DataFrame:
@@ -158,7 +158,7 @@ def canonical_texts(docs: DataFrame) -> DataFrame:
             got = [digest(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.string())], ["doc_id", "fingerprint", "canonical"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fingerprint string, canonical string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, fingerprint string, canonical string")
 
 
 def exact_classes(docs: DataFrame, found: DataFrame, single: bool = True) -> DataFrame:

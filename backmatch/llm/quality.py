@@ -10,10 +10,16 @@ All labelled training rows take part: they are reduced to counts, sums and
 products for each class by one aggregation, so the driver gets two rows
 whatever the size of the input.
 
-Defined results: a null text is scored as an empty one; null labels and
-labels without a document are ignored; each row of a repeated document or
-label counts; with one class only, the score is 1 or 0 for that class, with
-none 0.5; an empty table gives an empty result; extra columns are ignored.
+The difference is divided by the number of features before the logistic
+function: the features are far from independent, so the plain posterior is 0
+or 1 in most cases; order and decision are the same.
+
+Defined results: a null text is scored as an empty one; very long texts are
+read whole; null labels and labels without a document are ignored; each row
+of a repeated document or label counts; a score of exactly one half is good;
+with one class only, the score is 1 or 0 for that class, with none 0.5; an
+empty table gives an empty result; extra columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
@@ -27,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_batches, bounded, checkpointed, fold, table
+from .common import arrow_batches, bounded, checkpointed, fold, lean, table
 
 FOLDS, HELD_OUT = 3, 1
 #: Weight of the pooled covariance, and of the identity within it.
@@ -82,7 +88,7 @@ def features(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([statistics(t or "").tolist() for t in b.column(1).to_pylist()], pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, x array<double>")
 
 
 def fit(found: DataFrame, labels: DataFrame) -> Model:
@@ -121,13 +127,15 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
             s = model.score(x)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "x").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return found.select("doc_id", F.coalesce(fold(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "x").mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents predicted good, with all their columns, fitted on labelled rows of ``docs``.
 
     Only documents with a label are read for fitting; all are then scored in one pass without a shuffle of texts.
+    Null and empty texts are scored like others; repeated rows and rows without an id are each kept or not by their
+    own text; columns of any name are kept; without labels all documents stay.
     """
     arrow_batches(docs.sparkSession)
     known = checkpointed(labels.where(F.col("quality").isin(0, 1)).select("doc_id").distinct())
@@ -140,7 +148,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
                 x = np.stack([statistics(t or "") for t in b.column(at).to_pylist()])
                 yield b.filter(pa.array(model.score(x) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .buckets import BUCKET_BYTES, dealt, join_unique
-from .common import arrow_batches, bounded, checkpointed, drop_rows, table, text_hash
+from .common import arrow_batches, bounded, checkpointed, drop_rows, lean, table, text_hash
 from .components import components
 
 SEED, BITS, BUDGET = 42, 64, 3
@@ -309,7 +309,7 @@ def linked_classes(prints: DataFrame, similar: bool = False, limit: int | None =
     rows = prints.select(F.explode(F.array(*keys)).alias("key"), "print", "node")
     rows, links = dealt(rows, F.lit(8 * words + 40), "print", lambda df: df.withColumn("hit", _differing("print", "centre", 8 * words) <= most), limit)
     bucket = (F.shiftleft("key", 40) + F.col("part")).alias("bucket")
-    stars = rows.select(bucket, "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _bucket_stars(b, words, bits, budget, most), "u long, v long")
+    stars = rows.select(bucket, "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda b: _bucket_stars(b, words, bits, budget, most)), "u long, v long")
     if links is not None:
         stars = stars.unionByName(links)
     if similar:
@@ -328,7 +328,7 @@ def document_prints(docs: DataFrame, width: int = 3) -> DataFrame:
             got = [majority(shingle_hashes(t or "", width)).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(got, pa.binary())], ["doc_id", "print"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, print binary")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, print binary")
 
 
 def set_prints(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
@@ -343,7 +343,7 @@ def set_prints(docs: DataFrame, width: int = SIMILAR_SHINGLE) -> DataFrame:
             keys = pa.array([candidate_keys(h).view(np.int64) for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([h.nbytes for h in sets], pa.int64()), same, pa.array([wide_print(h) for h in sets], pa.binary()), keys], ["doc_id", "hash", "size", "same", "print", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash"), "text").mapInArrow(run, "doc_id long, hash long, size long, same binary, print binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("hash"), "text").mapInArrow(lean(run), "doc_id long, hash long, size long, same binary, print binary, keys array<long>")
 
 
 def _with_least(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -404,18 +404,18 @@ def _similar_links(docs: DataFrame, nodes: DataFrame, candidates: DataFrame, wid
                 hit = [similar_sets([np.frombuffer(x, np.uint64) for x in p])[1] == 0 for p in pairs]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], [*kept, "hit"])
 
-        return df.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in df.dtypes) + ", hit boolean")
+        return df.mapInArrow(lean(run), ", ".join(f"{k} {t}" for k, t in df.dtypes) + ", hit boolean")
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("own"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("own") == F.col("hash"))
-    sets = texts.join(bounded(members), same).select("class", "node", "text").mapInArrow(sets_of, "key long, node long, set binary")
+    sets = texts.join(bounded(members), same).select("class", "node", "text").mapInArrow(lean(sets_of), "key long, node long, set binary")
     big = nodes.join(bounded(members.select("node", "class")), "node").groupBy("class").agg(F.sum("size").alias("held"))
     if not big.where(F.col("held") > (BUCKET_BYTES if limit is None else limit)).isEmpty():
         sets = checkpointed(sets)  # read more than once
         rows, links = dealt(sets, F.length("set"), "set", near, limit)
     else:
         rows, links = sets.select("key", "node", "set", F.lit(0).cast("long").alias("part")), None
-    stars = rows.select("key", "part", "node", "set").repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_similar_stars, "u long, v long")
+    stars = rows.select("key", "part", "node", "set").repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(lean(_similar_stars), "u long, v long")
     return stars if links is None else stars.unionByName(links)
 
 

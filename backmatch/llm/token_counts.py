@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import arrow_batches, table
+from .common import arrow_batches, lean, table
 
 VOCABULARY = "word_bpe_49k.json"
 CONTEXT = 2048
@@ -123,7 +123,7 @@ def token_counts(docs: DataFrame, path: str | None = None, context: int = CONTEX
                 ["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

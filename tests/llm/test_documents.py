@@ -231,9 +231,33 @@ def test_language_held_out(spark, no_docs):
     assert [got[i]["lang_pred"] for i in (1000, 1001, 1002)] == ["und"] * 3
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert language.identify_languages(no_docs).count() == 0
+    planes = spark.createDataFrame([(1, "\U00031350\U00031351"), (2, "\U0001d400 x"), (3, "مرحبا")], "doc_id bigint, text string").withColumn("lang", F.lit(None).cast("string"))
+    assert all(r["lang_pred"] in tongue and 0 < r["score"] <= 1 for r in language.identify_languages(planes, language.sample(df)).collect())
     assert language.identify_languages(df.withColumn("lang", F.lit(None).cast("string"))).first()["lang_pred"] == "und"
 
 
+def test_the_sample_is_bounded(spark):
+    """Thousands of rows of one id, or of one long text, count once; long texts serve only where there are no others."""
+    rows = [(8, "same text again", "aa")] * 3000 + [(8, f"other text {i}", "bb") for i in range(3000)] + [(9, "x" * 50_000, "aa"), (13, "y" * 50_000, "cc"), (16, "word " * 100, "bb")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert all(zlib.crc32(str(i).encode()) % 4 != 2 for i in (8, 9, 13, 16))
+    got = dict(language.sample(df))
+    assert got["aa"].split("\n") == ["same text again", "x" * language.SAMPLE_TEXT] and got["cc"] == "y" * language.SAMPLE_TEXT
+    assert len(got["bb"].split("\n")) <= language.SAMPLE_DOCS and len(got["bb"]) <= language.SAMPLE_CHARS + language.SAMPLE_DOCS
+
+
+def test_an_alphabet_of_thousands_of_letters():
+    rng = random.Random(2)
+    sample = "".join(chr(0x4E00 + int(3000 * rng.random() ** 2)) for _ in range(12_000))
+    p = language.Parser((("zh", sample), ("en", "the quick brown fox " * 20)))
+    assert len(p.tables[0].owner) < 200_000  # transitions, not states times letters
+    for _ in range(20):
+        at = rng.randrange(11_000)
+        t = sample[at : at + 50] + chr(0x4E00 + rng.randrange(3000)) + sample[at // 2 : at // 2 + 30]
+        assert p.phrases([t])[0][0, 0] == brute_phrases(t, sample)
+    assert p.predict([sample[500:600], "the brown fox"])[0] == ["zh", "en"]
+
+
 # -- fingerprints
 
 
@@ -453,6 +477,60 @@ def test_quality_held_out(spark, docs, no_docs):
     assert {r["score"] for r in quality.score_quality(df, lab.where("quality = 1")).collect()} == {1.0}
 
 
+def plain_statistics(t):
+    """The statistics by their definition, one character or word at a time."""
+    b = t.encode()
+    w = b.split()
+    share = lambda k, of, least: np.log((k + least) / (of + 1))
+    count = lambda chars: sum(chr(c) in chars for c in b)
+    marks = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,!?'-")
+    space, line = count(" \t"), count("\n\r")
+    again = sum(w[i] == w[i - 1] for i in range(1, len(w)))
+    top = max((w.count(x) for x in set(w)), default=0)
+    inner = sum(b[i : i + 1] == b"," and b[i + 1 : i + 2] not in (b" ", b"\n") for i in range(len(b)))
+    return [np.log(len(b) + 1), share(count("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), len(b), 0.5), share(count("0123456789"), len(b), 0.5), share(count(".,"), len(b), 0.5), share(count("!?"), len(b), 0.2), share(count(marks), len(b), 0.2), share(space, len(b), 0.5), share(line, len(b), 0.5), np.log((len(b) - space - line + 1) / (len(w) + 1)), np.log(len(set(w)) + 1) / np.log(len(w) + 2), share(again, len(w), 0.2), share(top, len(w), 0.5), share(inner, len(w), 0.2)]
+
+
+def test_statistics_equal_their_definition():
+    rng = random.Random(4)
+    for _ in range(200):
+        t = "".join(rng.choice(["a", "B", "7", ", ", ",", ".", "! ", "#", " ", "  ", "\n", "é", "😀", "the ", "the ", "'"]) for _ in range(rng.randrange(0, 60)))
+        assert np.allclose(quality.statistics(t), plain_statistics(t)), t
+
+
+def test_fit_equals_its_definition(spark):
+    """Means and shrunken covariances from one aggregation are those of the rows themselves."""
+    rng = np.random.default_rng(2)
+    n, k = len(quality.FEATURES), 120
+    x, y = rng.normal(size=(k, n)) @ rng.normal(size=(n, n)), rng.integers(0, 2, k)
+    found = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "doc_id bigint, x array<double>")
+    labels = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id bigint, quality int")
+    use = np.array([zlib.crc32(str(i).encode()) % 3 != 1 for i in range(k)])
+    m = quality.fit(found, labels)
+    cov = {c: np.cov(x[use & (y == c)].T, bias=True) for c in (0, 1)}
+    size = {c: (use & (y == c)).sum() for c in (0, 1)}
+    pooled = sum(cov[c] * size[c] for c in cov) / use.sum()
+    pooled = (1 - quality.TO_IDENTITY) * pooled + quality.TO_IDENTITY * (np.trace(pooled) / n + 1e-6) * np.eye(n)
+    for c in cov:
+        a = max(quality.TO_POOLED, n / (n + size[c]))
+        want = (1 - a) * cov[c] + a * pooled
+        assert np.allclose(m.means[c], x[use & (y == c)].mean(0))
+        assert np.allclose(np.linalg.inv(m.factors[c]) @ np.linalg.inv(m.factors[c]).T, want)
+        assert np.isclose(m.weights[c], np.log(size[c] / use.sum()) - np.linalg.slogdet(want)[1] / 2)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i % 977}" for i in range(60_000)) + " ."
+    df = spark.createDataFrame([(1, long, 5.0, 6, 7), (2, None, 1.0, 2, 3)], "doc_id bigint, text string, score double, x int, y int")
+    lab = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
+    assert quality.score_quality(df, lab).columns == ["doc_id", "held_out", "score", "predicted"] and quality.score_quality(df, lab).count() == 2
+    assert quality.keep_good(df, lab).columns == df.columns
+    bench = spark.createDataFrame([(1, " ".join(f"word{i}" for i in range(500, 540)))], "item_id bigint, text string")
+    clash = df.selectExpr("*", "1 AS values", "2 AS text_hash", "3 AS at")
+    assert [tuple(r)[:2] for r in decontamination.contamination(clash, bench).collect()] == [(1, 1)]
+    assert [r["doc_id"] for r in decontamination.drop_contaminated(clash, bench).collect()] == [2]
+
+
 def test_score_equals_the_densities():
     rng = np.random.default_rng(9)
     n = len(quality.FEATURES)
