@@ -8,20 +8,21 @@ added and removed while the stream runs.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..operators.percolate import percolate
+from ..plans.config import EngineConfig
 from ..query import Query
 
 
-def percolate_stream(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: str = "anchor") -> DataFrame:
-    """doc_id, qid as an append-mode stream."""
+def percolate_stream(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: str = "anchor", config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+    """doc_id, qid as an append-mode stream; ``seen`` as for a batch, from documents of before."""
     if not docs.isStreaming:
         raise ValueError("not a stream")
-    return percolate(docs, queries, strategy)
+    return percolate(docs, queries, strategy, config, seen)
 
 
 def each_batch(docs: DataFrame, corpus: Callable[[], Iterable[tuple[int, Query]]], sink: Callable[[DataFrame, int], None]) -> DataStreamWriter:
