@@ -32,9 +32,9 @@ def join_unique(rows: DataFrame, unique: DataFrame, key: str, n: str = "n", how:
     hubs = unique.where(F.col(n) > hub)
     rest = unique.where(F.col(n) <= hub).drop(n)
     if hubs.isEmpty():
-        return rows.join(bounded(rest), key, how)
+        return rows.join(rest, key, how)
     hot = rows.join(F.broadcast(hubs.drop(n)), key)
-    cold = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(bounded(rest), key, how)
+    cold = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(rest, key, how)
     return cold.unionByName(hot)
 
 

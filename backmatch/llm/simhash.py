@@ -351,7 +351,7 @@ def _with_least(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     linked = checkpointed(classes.unionByName(classes.select(F.col("component").alias("node"), "component")).distinct())
     least = linked.join(nodes.select("node", "first"), "node").groupBy("component").agg(F.min("first").alias("least"))
     named = linked.join(least, "component").select("node", "least")
-    return nodes.join(bounded(checkpointed(named)), "node", "left").withColumn("least", F.coalesce("least", "first"))
+    return nodes.join(named, "node", "left").withColumn("least", F.coalesce("least", "first"))
 
 
 def near_duplicate_classes(docs: DataFrame, limit: int | None = None) -> DataFrame:
