@@ -18,15 +18,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator, Mapping
-from dataclasses import replace
-from itertools import islice
+from dataclasses import dataclass, replace
+from itertools import accumulate, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import CLAUSES, LITERAL, clauses_match, compiled, from_rows, literal_sql, needs, parsed, rows
-from ..plans.anchors import Anchors, Classes, Costs, Extractor, choose, pick, query_keys
+from ..functions.predicates import CLAUSES, LITERAL, clauses_match, compiled, from_rows, literal_sql, needs, parsed
+from ..plans.anchors import Classes, Costs, Extractor, choose, pick, query_keys
 from ..plans.config import EngineConfig
 from ..query import Clause, Literal, Query
 from ..shipping import ship
@@ -38,7 +38,16 @@ COMPILED_QUERIES = 1024
 KEY_BYTES, LITERAL_BYTES = 64, 160
 
 _LITERAL = pa.struct([("neg", pa.bool_()), ("kind", pa.string()), ("field", pa.string()), ("val", pa.string()), ("num", pa.int64()), ("lat", pa.float64()), ("lng", pa.float64()), ("radius", pa.int64())])
-_CLAUSES = pa.list_(pa.list_(_LITERAL))
+
+
+def _clauses(queries: Iterable[Query]) -> pa.Array:
+    """A column of type ``CLAUSES``, made field by field."""
+    clauses = [q.clauses for q in queries]
+    flat = [c.literals for cs in clauses for c in cs]
+    literals = [x for c in flat for x in c]
+    struct = pa.StructArray.from_arrays([pa.array([getattr(x, f.name) for x in literals], f.type) for f in _LITERAL], fields=list(_LITERAL))
+    upto = lambda parts: pa.array(list(accumulate(map(len, parts), initial=0)), pa.int32())
+    return pa.ListArray.from_arrays(upto(clauses), pa.ListArray.from_arrays(upto(flat), struct))
 
 
 def query_frame(spark: SparkSession, queries: Iterable[tuple[int, Query]]) -> DataFrame:
@@ -46,7 +55,7 @@ def query_frame(spark: SparkSession, queries: Iterable[tuple[int, Query]]) -> Da
     found = list(queries)
     if not found:
         return spark.createDataFrame([], f"qid bigint, clauses {CLAUSES}")
-    return spark.createDataFrame(pa.table({"qid": pa.array([i for i, _ in found], pa.int64()), "clauses": pa.array([rows(q) for _, q in found], _CLAUSES)}))
+    return spark.createDataFrame(pa.table({"qid": pa.array([i for i, _ in found], pa.int64()), "clauses": _clauses(q for _, q in found)}))
 
 
 def _bounded(df: DataFrame, size: int, config: EngineConfig) -> DataFrame:
@@ -131,13 +140,37 @@ def document_keys(docs: DataFrame, classes: Iterable[Classes]) -> DataFrame:
     return docs.select("doc_id", "f", "fi", "fc", "fg", F.array_distinct(F.concat(*map(folded, classes))).alias("keys"))
 
 
-def anchor_frames(spark: SparkSession, anchors: Anchors, queries: Mapping[int, Query]) -> tuple[DataFrame, DataFrame, int, int]:
-    """key, qid, at (the key's place among the query's); qid, qkeys, clauses; and the estimated bytes of both."""
+@dataclass(frozen=True)
+class Prepared:
+    """Queries with their anchors, which ``prepare`` makes once for any number of batches.
+
+    keys has key, qid and at (the key's place among the query's), own has qid, qkeys and clauses.
+    """
+
+    keys: pa.Table
+    own: pa.Table
+    n_literals: int
+    fields: dict[str, set[str]]
+    classes: list[Classes]
+    always: list[tuple[int, Query]]
+    config: EngineConfig
+
+    def frames(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+        """keys and own, broadcast if they are small enough."""
+        n = self.keys.num_rows
+        return _bounded(spark.createDataFrame(self.keys), KEY_BYTES * n, self.config), _bounded(spark.createDataFrame(self.own), LITERAL_BYTES * self.n_literals + 8 * n, self.config)
+
+
+def prepare(queries: Iterable[tuple[int, Query]], config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> Prepared:
+    """Choose the anchors of all queries; ``seen`` has shares of documents for frequent (field, value) pairs."""
+    config, by_id = config or EngineConfig(), dict(queries)
+    anchors = choose(by_id.items(), config, seen)
     flat = [(k, i, at) for i, ks in anchors.keys.items() for at, k in enumerate(ks)]
-    keys = spark.createDataFrame(pa.table({"key": pa.array([x[0] for x in flat], pa.int64()), "qid": pa.array([x[1] for x in flat], pa.int64()), "at": pa.array([x[2] for x in flat], pa.int32())}))
     ids = list(anchors.keys)
-    own = spark.createDataFrame(pa.table({"qid": pa.array(ids, pa.int64()), "qkeys": pa.array([anchors.keys[i] for i in ids], pa.list_(pa.int64())), "clauses": pa.array([rows(queries[i]) for i in ids], _CLAUSES)}))
-    return keys, own, KEY_BYTES * len(flat), LITERAL_BYTES * _literals(queries[i] for i in ids) + 8 * len(flat)
+    keys = pa.table({"key": pa.array([x[0] for x in flat], pa.int64()), "qid": pa.array([x[1] for x in flat], pa.int64()), "at": pa.array([x[2] for x in flat], pa.int32())})
+    own = pa.table({"qid": pa.array(ids, pa.int64()), "qkeys": pa.array([anchors.keys[i] for i in ids], pa.list_(pa.int64())), "clauses": _clauses(by_id[i] for i in ids)})
+    anchored = [by_id[i] for i in ids]
+    return Prepared(keys, own, _literals(anchored), needs(anchored), anchors.classes, [(i, by_id[i]) for i in anchors.always], config)
 
 
 _FIRST = "at = 0 OR NOT arrays_overlap(keys, slice(qkeys, 1, at))"
@@ -148,37 +181,34 @@ def _probe(docs: DataFrame, classes: Iterable[Classes]) -> DataFrame:
     return document_keys(docs, classes).select("*", F.explode_outer("keys").alias("key"))
 
 
-def _anchored(docs: DataFrame, queries: Mapping[int, Query], anchors: Anchors, config: EngineConfig, residual: bool = True) -> DataFrame:
-    keys, own, key_bytes, own_bytes = anchor_frames(docs.sparkSession, anchors, queries)
-    fields = needs(queries[i] for i in anchors.keys)
-    got = _probe(parsed(docs, fields), anchors.classes).join(_bounded(keys, key_bytes, config), "key").join(_bounded(own, own_bytes, config), "qid").where(_FIRST)
-    return (got.where(clauses_match(F.col("clauses"), fields)) if residual else got).select("doc_id", "qid")
+def _anchored(docs: DataFrame, found: Prepared, residual: bool = True) -> DataFrame:
+    keys, own = found.frames(docs.sparkSession)
+    got = _probe(parsed(docs, found.fields), found.classes).join(keys, "key").join(own, "qid").where(_FIRST)
+    return (got.where(clauses_match(F.col("clauses"), found.fields)) if residual else got).select("doc_id", "qid")
 
 
-def percolate(docs: DataFrame, queries: Iterable[tuple[int, Query]], strategy: str = "anchor", config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
-    """doc_id, qid of all matching pairs; ``docs`` has doc_id and f, and may be a stream."""
-    config, found = config or EngineConfig(), list(queries)
+def percolate(docs: DataFrame, queries: Iterable[tuple[int, Query]] | Prepared, strategy: str = "anchor", config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+    """doc_id, qid of all matching pairs; ``docs`` has doc_id and f, and may be a stream.  ``queries`` that were
+    prepared have their configuration with them."""
     docs = docs.select("doc_id", "f")
     if strategy == "compiled":
-        return _compiled(docs, found)
+        return _compiled(docs, queries)
     if strategy == "cross":
-        return _cross(docs, found, config)
+        return _cross(docs, list(queries), config or EngineConfig())
     if strategy != "anchor":
         raise ValueError(strategy)
-    by_id = dict(found)
-    anchors = choose(found, config, seen)
-    parts = [_anchored(docs, by_id, anchors, config)] if anchors.classes else []
-    if anchors.always or not parts:
-        parts.append(_compiled(docs, ((i, by_id[i]) for i in anchors.always)))
+    found = queries if isinstance(queries, Prepared) else prepare(queries, config, seen)
+    parts = [_anchored(docs, found)] if found.classes else []
+    if found.always or not parts:
+        parts.append(_compiled(docs, found.always))
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
-def candidates(docs: DataFrame, queries: Iterable[tuple[int, Query]], config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
+def candidates(docs: DataFrame, queries: Iterable[tuple[int, Query]] | Prepared, config: EngineConfig | None = None, seen: Mapping[tuple[str, str], float] | None = None) -> DataFrame:
     """doc_id, qid of the anchor join before the residual, for measuring how selective anchors are."""
-    found = dict(queries)
-    config = config or EngineConfig()
-    anchors = choose(found.items(), config, seen)
-    return _anchored(docs.select("doc_id", "f"), found, anchors, config, residual=False) if anchors.classes else _none(docs)
+    found = queries if isinstance(queries, Prepared) else prepare(queries, config, seen)
+    docs = docs.select("doc_id", "f")
+    return _anchored(docs, found, residual=False) if found.classes else _none(docs)
 
 
 def table_keys(corpus: DataFrame, config: EngineConfig, costs: Costs) -> DataFrame:
@@ -231,4 +261,4 @@ def percolate_table(docs: DataFrame, corpus: DataFrame, config: EngineConfig | N
     return got.where(clauses_match(F.col("clauses"), fields)).select("doc_id", "qid").unionByName(out)
 
 
-__all__ = ["CLAUSES", "LITERAL", "anchor_frames", "candidates", "document_keys", "frequent_values", "match_all", "matches", "percolate", "percolate_table", "query_frame", "search", "table_keys"]
+__all__ = ["CLAUSES", "LITERAL", "Prepared", "candidates", "document_keys", "frequent_values", "match_all", "matches", "percolate", "percolate_table", "prepare", "query_frame", "search", "table_keys"]

@@ -20,7 +20,7 @@ from ..functions.predicates import from_rows
 from ..plans.config import EngineConfig
 from ..query import Query
 from . import stats
-from .percolate import frequent_values, percolate, percolate_table, query_frame
+from .percolate import Prepared, frequent_values, percolate, percolate_table, prepare, query_frame
 
 
 class PercolatorError(ValueError):
@@ -47,6 +47,7 @@ class Percolator:
         self._qids: dict[Hashable, int] = {}
         self._next = 0
         self.seen: dict[tuple[str, str], float] | None = None  # shares of documents of frequent values
+        self._prepared: Prepared | None = None  # until a query is added or removed
 
     @staticmethod
     def builder(**settings) -> Percolator:
@@ -67,6 +68,7 @@ class Percolator:
 
     def _append(self, uid: Hashable | None, q: Query) -> Hashable:
         self._check(q)  # before anything changes
+        self._prepared = None
         qid, self._next = self._next, self._next + 1
         uid = qid if uid is None else uid
         if uid in self._qids:
@@ -76,6 +78,7 @@ class Percolator:
         return uid
 
     def _retire(self, qid: int) -> None:
+        self._prepared = None
         s = self._log[qid]
         self._log[qid] = Stored(s.uid, s.query, False)
 
@@ -150,7 +153,13 @@ class Percolator:
 
     def percolate(self, docs: DataFrame, strategy: str = "anchor", seen=None) -> DataFrame:
         """doc_id, uid of all matching pairs.  Ids of one's own come back in their type, if all have one."""
-        got = percolate(docs, self.queries(), strategy, self.config, self.seen if seen is None else seen)
+        if strategy != "anchor":
+            got = percolate(docs, self.queries(), strategy, self.config)
+        elif seen is not None:
+            got = percolate(docs, self.queries(), strategy, self.config, seen)
+        else:
+            self._prepared = self._prepared or prepare(self.queries(), self.config, self.seen)
+            got = percolate(docs, self._prepared)
         uids = {i: s.uid for i, s in self.live()}
         if all(i == u for i, u in uids.items()):
             return got.select("doc_id", F.col("qid").alias("uid"))
