@@ -307,7 +307,8 @@ def linked_classes(prints: DataFrame, similar: bool = False, limit: int | None =
         words, bits, budget, most = 1, BITS, BUDGET, BUDGET
         keys = [F.lit(k << 16) + octet(2 * k, 2) for k in range(4)]
     rows = prints.select(F.explode(F.array(*keys)).alias("key"), "print", "node")
-    rows, links = dealt(rows, F.lit(8 * words + 40), "print", lambda df: df.withColumn("hit", _differing("print", "centre", 8 * words) <= most), limit)
+    # a traversal holds a running sum for each bit
+    rows, links = dealt(rows, F.lit(8 * words + 40 + 8 * bits), "print", lambda df: df.withColumn("hit", _differing("print", "centre", 8 * words) <= most), limit)
     bucket = (F.shiftleft("key", 40) + F.col("part")).alias("bucket")
     stars = rows.select(bucket, "print", "node").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(lambda b: _bucket_stars(b, words, bits, budget, most)), "u long, v long")
     if links is not None:

@@ -153,7 +153,7 @@ def test_large_buckets_are_dealt_in_blocks(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_classes(df, limit=20_000).collect()}
     assert got == dict(enumerate(exact_components(texts)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df, limit=300).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_classes(df, limit=4000).collect()}
     assert got == dict(enumerate(classes([print_of(t) for t in texts], 3)))
 
 
