@@ -33,7 +33,7 @@ gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded, checkpointed, drop_rows, table, text_hash
@@ -128,10 +128,15 @@ def _tokens_of(at: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i, i + F.col("width") - 1))))
 
 
+def _n_tokens(at: Column) -> Column:
+    """The number of the item's tokens in the windows ``at``, which are in order."""
+    new = F.zip_with(F.slice(at, F.lit(2), F.greatest(F.size(at) - 1, F.lit(0))), F.slice(at, F.lit(1), F.greatest(F.size(at) - 1, F.lit(0))), lambda b, a: F.least(b - a, F.col("width")))
+    return F.when(F.size(at) == 0, 0).otherwise(F.aggregate(new, F.col("width"), lambda n, x: n + x))
+
+
 def _enough(at: Column) -> Column:
-    """Whether the windows ``at`` of the item are enough of it."""
-    half = F.size(_tokens_of(at)) / F.col("n") >= COVERED
-    return F.when(F.col("n") >= WINDOW, half).otherwise(F.size(at) == F.col("n") - F.col("width") + 1)
+    """Whether the windows ``at`` of the item, in order, are enough of it."""
+    return F.when(F.col("n") >= WINDOW, _n_tokens(at) / F.col("n") >= COVERED).otherwise(F.size(at) == F.col("n") - F.col("width") + 1)
 
 
 def _span(offset: Column, lo: Column, hi: Column) -> Column:
@@ -139,27 +144,28 @@ def _span(offset: Column, lo: Column, hi: Column) -> Column:
 
 
 def _passages(offset: Column, at: Column) -> Column:
-    """The spans of at least ``PASSAGE`` tokens that windows one after the other make."""
-    first = F.array_sort(F.filter(at, lambda i: ~F.array_contains(at, i - 1)))
-    last = F.array_sort(F.filter(at, lambda i: ~F.array_contains(at, i + 1)))
+    """The spans of at least ``PASSAGE`` tokens that windows one after the other make; ``at`` is in order."""
+    first = F.filter(at, lambda x, i: (i == 0) | (F.get(at, i - 1) != x - 1))
+    last = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) != x + 1, F.lit(True)))
     runs = F.zip_with(first, last, lambda a, b: _span(offset, a, b + F.col("width")))
     return F.filter(runs, lambda r: r["hi"] - r["lo"] >= PASSAGE)
 
 
-def _whole(place: Column) -> Column:
-    """Whether all windows of the item with a literal token are at this place, whatever the values."""
-    return F.coalesce(F.size(place["typed"]) == F.col("n_open"), F.lit(False))
-
-
-def _spans() -> Column:
-    """Where the document may contain the item, offset and the tokens from lo to before hi whose values
-    count: each offset with enough windows or the whole item, or, where only all offsets together have enough, the most frequent ones,
-    and each long passage."""
-    good = F.filter("places", lambda p: _enough(p["at"]) | _whole(p))
-    most = F.array_max(F.transform("places", lambda p: F.size(p["at"])))
-    together = F.when(_enough(F.col("at")), F.filter("places", lambda p: F.size(p["at"]) == most)).otherwise(F.slice("places", 1, 0))
-    whole = F.transform(F.when(F.size(good) > 0, good).otherwise(together), lambda p: _span(p["offset"], F.lit(0), F.col("n")))
-    return F.concat(whole, F.flatten(F.transform("places", lambda p: _passages(p["offset"], p["at"]))))
+def _pairs(places: DataFrame, doc: list[str]) -> DataFrame:
+    """doc, item_id, form with at (the item's windows that are somewhere in the document), n_windows and spans: where
+    the document may contain the item, offset and the tokens from lo to before hi whose values count.  That is each
+    offset with enough windows or the whole item, or, where only all offsets together have enough, the most frequent
+    ones, and each long passage."""
+    whole = F.coalesce(F.size("typed") == F.col("n_open"), F.lit(False))  # all windows with a literal token, whatever the values
+    places = places.withColumn("whole", whole).withColumn("good", _enough(F.col("at")) | F.col("whole"))
+    pair = Window.partitionBy(*doc, "item_id", "form")
+    places = places.select("*", F.bool_or("good").over(pair).alias("some"), F.bool_or("whole").over(pair).alias("all"), F.max(F.size("at")).over(pair).alias("most"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("at").over(pair)))).alias("union"))
+    counts = F.when(F.col("some"), F.col("good")).otherwise(_enough(F.col("union")) & (F.size("at") == F.col("most")))
+    own = F.when(counts, F.array(_span(F.col("offset"), F.lit(0), F.col("n")))).otherwise(F.array().cast("array<struct<offset:int,lo:int,hi:int>>"))
+    every = F.sequence(F.lit(0), F.col("n") - F.col("width"))
+    places = places.select(*doc, "item_id", "form", "width", F.when(F.col("all"), every).otherwise(F.col("union")).alias("whole_at"), F.size(F.array_union("at", "typed")).alias("size"), F.concat(own, _passages(F.col("offset"), F.col("at"))).alias("here"))
+    got = places.groupBy(*doc, "item_id", "form").agg(F.first("whole_at").alias("at"), F.first("width").alias("width"), F.sum("size").alias("n_windows"), F.flatten(F.collect_list("here")).alias("spans"))
+    return got.where(F.size("spans") > 0)
 
 
 def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -180,15 +186,13 @@ def _contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     if found is None:
         none = F.lit(None).cast("long")
         return docs.select(none.alias("doc_id"), none.alias("text_hash"), none.alias("item_id"), none.cast("double").alias("covered"), none.alias("n_windows"), none.cast("int").alias("slots"), F.lit(True).alias("same_values")).where("false")
-    hits = checkpointed(found.distinct())
-    of = lambda *kinds: F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("ipos")))
-    places = hits.groupBy(*doc, "item_id", "form", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width"))
-    pairs = places.groupBy(*doc, "item_id", "form").agg(F.collect_list(F.struct("offset", "at", "typed")).alias("places"), F.max("width").alias("width"), F.sum(F.size(F.array_union("at", "typed"))).alias("n_windows"))
-    pairs = pairs.join(bounded(items, 100 * F.col("n")), ["item_id", "form"])
-    every = F.sequence(F.lit(0), F.col("n") - F.col("width"))
-    pairs = pairs.withColumn("at", F.when(F.exists("places", _whole), every).otherwise(F.array_distinct(F.flatten("places.at"))))
-    pairs = pairs.withColumn("covered", F.size(_tokens_of(F.col("at"))) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
-    pairs = checkpointed(pairs.withColumn("spans", _spans()).where(F.size("spans") > 0).drop("places", "at"))
+    of = lambda *kinds: F.array_sort(F.collect_set(F.when(F.col("kind").isin(*kinds), F.col("ipos"))))
+    places = checkpointed(found.groupBy(*doc, "item_id", "form", "offset").agg(of(STRONG, VERBATIM).alias("at"), of(STRONG, WEAK).alias("typed"), F.max("width").alias("width")))
+    some = bounded(items.select("item_id", "form", "n", "n_open"))
+    pairs = _pairs(places.join(some, ["item_id", "form"]), doc)
+    pairs = pairs.join(bounded(items.drop("wide", "n_open"), 100 * F.col("n")), ["item_id", "form"])
+    pairs = pairs.withColumn("covered", _n_tokens(F.col("at")) / F.col("n")).withColumn("slots", F.size(F.filter(_tokens_of(F.col("at")), lambda i: F.get("tokens", i).isin(*SLOTS))))
+    pairs = checkpointed(pairs.drop("at"))
     out = [*doc, "item_id", "covered", "n_windows", "slots"]
     plain = pairs.where("slots = 0").select(*out, F.lit(True).alias("same_values"))
     with_slots = pairs.where("slots > 0")
@@ -202,19 +206,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def _consistent(docs: DataFrame, pairs: DataFrame, out: list[str]) -> DataFrame:
     """Those pairs whose slots agree in one of the spans: one value of the document for each of the item's."""
-    pairs = pairs.select("*", F.explode("spans").alias("span")).select("*", "span.*")
     ids = checkpointed(pairs.select("doc_id", "text_hash").distinct()).select(F.col("doc_id").alias("id"), F.col("text_hash").alias("own"))
     texts = docs.select(F.col("doc_id").cast("long").alias("id_of"), text_hash().alias("hash_of"), "text")
     same = lambda a, b: F.col(a[0]).eqNullSafe(F.col(b[0])) & (F.col(a[1]) == F.col(b[1]))
     texts = texts.join(bounded(ids), same(("id_of", "hash_of"), ("id", "own")), "left_semi").dropDuplicates(["id_of", "hash_of"])
     own = texts.select("id_of", "hash_of", values_of(F.col("text")).alias("dv")).withColumn("dt", placeholders(F.col("dv")))
-    at = F.filter(F.sequence(F.col("lo"), F.col("hi") - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + F.col("offset")), F.lit(""))))
-    got = pairs.join(own, same(("doc_id", "text_hash"), ("id_of", "hash_of"))).select(*out, "tokens", "values", "dt", "dv", "offset", at.alias("where"))
-    value = F.transform("where", lambda i: F.struct(F.get("values", i).alias("item"), F.get("dv", i + F.col("offset")).alias("doc")))
-    got = got.withColumn("value", F.array_distinct(value))
-    firsts = F.size(F.array_distinct(F.transform("value", lambda v: v["item"])))
-    agree = F.forall("value", lambda v: v["item"].eqNullSafe(v["doc"]))
-    return got.where((F.size("value") == firsts) | agree).select(*out, agree.alias("same_values"))
+    got = pairs.join(own, same(("doc_id", "text_hash"), ("id_of", "hash_of")))
+    # a text's tokens stay in one row, and its spans are looked at there
+    item, there = (lambda i: F.get("values", i)), lambda s, i: F.get("dv", i + s["offset"])
+    slots = lambda s: F.filter(F.sequence(s["lo"], s["hi"] - 1), lambda i: F.get("tokens", i).isin(*SLOTS) & (F.get("tokens", i) == F.coalesce(F.get("dt", i + s["offset"]), F.lit(""))))
+    verbatim = F.exists("spans", lambda s: F.forall(slots(s), lambda i: item(i).eqNullSafe(there(s, i))))
+    # as many different pairs of values as values of the item; a value ends with its mark, so pairs can be written together
+    one_each = lambda at, s: F.size(F.array_distinct(F.transform(at, lambda i: F.concat(item(i), there(s, i))))) == F.size(F.array_distinct(F.transform(at, item)))
+    got = got.withColumn("same_values", verbatim)
+    return got.where(F.col("same_values") | F.exists("spans", lambda s: one_each(slots(s), s))).select(*out, "same_values")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

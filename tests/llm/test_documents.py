@@ -520,7 +520,7 @@ def test_fit_equals_its_definition(spark):
 
 
 def test_long_texts_and_clashing_columns(spark):
-    long = " ".join(f"word{i % 977}" for i in range(60_000)) + " ."
+    long = " ".join(f"word{i % 977}" for i in range(15_000)) + " ."
     df = spark.createDataFrame([(1, long, 5.0, 6, 7), (2, None, 1.0, 2, 3)], "doc_id bigint, text string, score double, x int, y int")
     lab = spark.createDataFrame([(1, 1), (2, 0)], "doc_id bigint, quality int")
     assert quality.score_quality(df, lab).columns == ["doc_id", "held_out", "score", "predicted"] and quality.score_quality(df, lab).count() == 2
