@@ -4,8 +4,9 @@ Arrow batches of texts go through the ``tokenizers`` library and only lengths
 come back.  The tokenizer never lets a token span white space, so a text is
 cut there: each distinct piece is encoded once per worker and its length kept
 in a bounded table.  Pieces that are not known yet are encoded in batches of
-about equal bytes; very long pieces are cut once more after digits, which are
-tokens of their own.
+about equal bytes; very long pieces are cut once more beside digits and ASCII
+marks.  A long run of letters alone is one word for the tokenizer and stays
+whole.
 
 Defined results: null text counts as empty (0 bytes, 0 tokens); repeated rows
 are each counted; an empty table gives an empty result; extra columns are
@@ -28,9 +29,10 @@ CONTEXT = 2048
 #: Bytes handed to the tokenizer at once; pieces kept per worker; longest piece kept.
 BATCH_BYTES, KEPT, KEPT_CHARS, LONG_PIECE = 1 << 19, 400_000, 48, 1 << 16
 
-#: Between a digit and an ASCII letter or digit nothing joins: digits are single tokens and no
-#: normalisation composes ASCII letters or digits with what stands before them.
-_AFTER_DIGIT = re.compile(r"(?<=[0-9])(?=[0-9A-Za-z])")
+_MARK = r"[!-&(-/:;=?@\[-`{}~]"  # ASCII marks that no contraction and no special token has
+#: Nothing joins between a digit and an ASCII letter or digit, as digits are single tokens, or between an ASCII
+#: letter or digit and a mark, as runs of letters and of marks are apart; no normalisation composes across these.
+_SAFE = re.compile(rf"(?<=[0-9])(?=[0-9A-Za-z])|(?<=[0-9A-Za-z])(?={_MARK})|(?<={_MARK})(?=[0-9A-Za-z])")
 
 
 def default_path(name: str = VOCABULARY) -> str:
@@ -40,10 +42,10 @@ def default_path(name: str = VOCABULARY) -> str:
 
 
 def pieces(text: str) -> list[str]:
-    """Cut at ASCII white space, and long pieces after digits; order is kept."""
+    """Cut at ASCII white space, and long pieces at the other safe boundaries; order is kept."""
     found = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
     if len(text) > LONG_PIECE and any(len(p) > LONG_PIECE for p in found):
-        found = [q for p in found for q in (_AFTER_DIGIT.split(p) if len(p) > LONG_PIECE else (p,))]
+        found = [q for p in found for q in (_SAFE.split(p) if len(p) > LONG_PIECE else (p,))]
     return found
 
 

@@ -30,6 +30,17 @@ def test_long_pieces_are_cut_safely():
     assert own.count([text]) == [len(own.tokenizer.encode(text, add_special_tokens=False))]
 
 
+def test_every_safe_boundary_changes_nothing(monkeypatch):
+    """All texts cut wherever long pieces may be."""
+    monkeypatch.setattr(token_counts, "LONG_PIECE", 3)
+    rng = random.Random(8)
+    parts = [*"abZΣσ07'<|>_.,:;-!?@[]{}~`^%$#&*()+=/\\\"", "é", "\u0301", "中", "ß", "'s", "'LL", "<|endoftext|>", "<|startoftext|>", " ", "\n"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(4, 40))) for _ in range(3000)]
+    own = token_counts.Counter(default_path())
+    assert sum(map(len, map(token_counts.pieces, texts))) > 12_000
+    assert own.count(texts) == [len(e) for e in own.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_batches_are_balanced_by_bytes():
     got = list(token_counts.balanced(["aé" * 10] * 9 + ["x" * 100], 64))
     assert sum(got, []) == ["aé" * 10] * 9 + ["x" * 100]
