@@ -7,11 +7,10 @@ merges are derived from a rank file, so the same ranks serve any library.
 Offsets in code points follow from the tokens' bytes: a character split over
 tokens is in the range of each.
 
-A single space between two non-space characters always begins a new match of
-the pattern, so a text is cut there.  All pieces of a batch that aren't known
-yet go to the library together, in groups of about equal bytes, and the ids of
-a piece are kept in a bounded table per worker; the ids are those of encoding
-each text in one go.
+Texts go to the library whole, in groups of about equal size.  A single space
+between two non-space characters always begins a new match of the pattern, so
+a very long text is cut at such spaces and the ids of its parts follow each
+other; they are those of encoding it in one go.
 
 Defined results: null text is an empty text (no ids, the digests of nothing);
 very long texts are encoded whole; repeated rows are each encoded; extra
@@ -26,7 +25,6 @@ import codecs
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -34,11 +32,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import arrow_batches, lean, table
-from .token_counts import balanced, default_path
+from .token_counts import default_path
 
 RANKS = "byte_bpe_50k.tiktoken"
-#: Pieces kept per worker, their longest, and code points of texts whose pieces are encoded together.
-KEPT, KEPT_CHARS, TOGETHER = 60_000, 32, 1 << 19
+#: Code points of texts that are encoded together, and of the parts of a longer one.
+TOGETHER = 1 << 18
 
 
 def byte_characters() -> list[str]:
@@ -91,62 +89,30 @@ class Codec:
         for i, t in self.bytes_of.items():
             self.size_of[i] = len(t)
         self.decimal = {i: str(i) for i in self.bytes_of}
-        self.kept: dict[str, bytes] = {}
-        self.once: set[int] = set()  # hashes of pieces
-
-    def _learn(self, new: Iterable[str]) -> dict[str, bytes]:
-        """The packed ids of each piece, by the library over groups of about equal bytes."""
-        out: dict[str, bytes] = {}
-        for group in balanced(new):
-            for t, e in zip(group, self.tokenizer.encode_batch_fast(group, add_special_tokens=False), strict=True):
-                out[t] = array("I", e.ids).tobytes()
-        return out
-
-    def _together(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut, get = [cuts(t) for t in texts], self.kept.get
-        found = [[*map(get, c)] for c in cut]
-        more = self._learn({p for c, f in zip(cut, found, strict=True) if None in f for p, x in zip(c, f, strict=True) if x is None})
-        for c, f in zip(cut, found, strict=True):
-            yield np.frombuffer(b"".join([more[p] if x is None else x for p, x in zip(c, f, strict=True)] if None in f else f), np.uintc)
-        self._keep(more)
-
-    def _keep(self, more: dict[str, bytes]) -> None:
-        """Most pieces occur once, so one is kept from the second group of texts on that has it."""
-        kept, once = self.kept, self.once
-        for p, x in more.items():
-            if len(p) <= KEPT_CHARS:
-                if (h := hash(p)) in once:
-                    kept[p] = x
-                else:
-                    once.add(h)
-        if len(once) > 2 * KEPT:
-            once.clear()
-        if len(kept) > KEPT:
-            kept.clear()
-
-    def encode_batch(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+
+    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        group: list[str] = []
-        held = 0
-        for t in texts:
-            if group and held + len(t) > TOGETHER:
-                yield from self._together(group)
-                group, held = [], 0
-            group.append(t)
-            held += len(t)
-        yield from self._together(group)
+        ids: list[int] = []  # of the parts of a text so far
+        for group in grouped([parted(t, TOGETHER) for t in texts], TOGETHER):
+            found = self.tokenizer.encode_batch_fast([p for p, _ in group], add_special_tokens=False)
+            for (_, last), e in zip(group, found, strict=True):
+                ids += e.ids
+                if last:
+                    yield ids
+                    ids = []
 
     def encode(self, text: str) -> list[int]:
-        return next(self.encode_batch([text])).tolist()
+        return next(self.encode_batch([text]))
 
     def written_ids(self, ids: list[int]) -> str:
         """Decimal ids joined by one space."""
         return " ".join(map(self.decimal.__getitem__, ids))
 
-    def offsets(self, text: str, ids: np.ndarray | list[int]) -> np.ndarray:
+    def offsets(self, text: str, ids: list[int]) -> np.ndarray:
         """Start and end in code points of each id of a text; a character split over tokens is in the range of each."""
-        end = np.cumsum(self.size_of[ids])
-        start = end - self.size_of[ids]
+        size = self.size_of[np.array(ids, np.int64)]
+        end = np.cumsum(size)
+        start = end - size
         if not text.isascii():
             octets = np.frombuffer(text.encode(), np.uint8)
             at = np.cumsum((octets & 0xC0) != 0x80)  # the number of the character that a byte is of, from 1
@@ -168,27 +134,36 @@ class Codec:
             yield rest
 
 
-def cuts(text: str) -> list[str]:
-    """Pieces that are encoded alone, each but the first with its leading space.
+#: A space that always begins a match.
+_BEGINS = re.compile(r"(?<=\S) (?=\S)")
+
 
-    A cut stands before a space whose neighbours are both no white space.
-    """
-    if not text:
-        return []
-    parts = text.split(" ")
-    if _ODD.search(text):
-        out = [parts[0]]
-        for left, p in zip(parts, parts[1:], strict=False):
-            if left and p and not left[-1].isspace() and not p[0].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-    return [parts[0], *(" " + p for p in parts[1:])]
+def parted(text: str, size: int) -> list[str]:
+    """Parts of about ``size`` code points, each but the first with its leading space; one where there is no such space."""
+    if len(text) <= size:
+        return [text]
+    out, at = [], 0
+    while (m := _BEGINS.search(text, at + size)) is not None:
+        out.append(text[at : m.start()])
+        at = m.start()
+    return [*out, text[at:]]
 
 
-#: A space at either end or next to other white space: not every space begins a match then.
-_ODD = re.compile(r"^ | $| \s|\s ")
+def grouped(texts: list[list[str]], size: int) -> Iterator[list[tuple[str, bool]]]:
+    """The parts of all texts in groups of at most ``size`` code points, but for longer parts, which go alone; with
+    whether a part is its text's last."""
+    group: list[tuple[str, bool]] = []
+    held = 0
+    for parts in texts:
+        for k, p in enumerate(parts, 1):
+            if group and held + len(p) > size:
+                yield group
+                group, held = [], 0
+            group.append((p, k == len(parts)))
+            held += len(p)
+    if group:
+        yield group
+
 
 _CODECS: dict[tuple[str, str | None], Codec] = {}
 
@@ -215,15 +190,14 @@ def encode_documents(docs: DataFrame, path: str | None = None, ids: bool = False
         for b in batches:
             rows = [[], [], [], [], []]
             texts = [t or "" for t in b.column(1).to_pylist()]
-            for t, packed in zip(texts, own.encode_batch(texts), strict=True):
-                got = packed.tolist()
+            for t, got in zip(texts, own.encode_batch(texts), strict=True):
                 rows[0].append(len(got))
                 rows[1].append(digest(own.written_ids(got).encode()))
                 rows[2].append(digest(own.decode_bytes(got)))
                 if ids:
-                    rows[3].append(pa.array(packed.astype(np.int32)))
+                    rows[3].append(pa.array(got, pa.int32()))
                 if offsets:
-                    rows[4].append(digest(own.offsets(t, packed).tobytes()))
+                    rows[4].append(digest(own.offsets(t, got).tobytes()))
             more = [pa.ListArray.from_arrays(pa.array([0, *_running(len(x) for x in rows[3])], pa.int32()), pa.concat_arrays(rows[3]) if rows[3] else pa.array([], pa.int32()))] if ids else []
             if offsets:
                 more.append(pa.array(rows[4], pa.string()))

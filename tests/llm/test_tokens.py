@@ -71,12 +71,16 @@ def test_ids_equal_and_decode():
         assert "".join(own.decode_stream(ids)) == t
 
 
-def test_a_small_table_changes_nothing(monkeypatch):
-    own, other = byte_bpe.Codec(default_path(byte_bpe.RANKS)), reference()
-    monkeypatch.setattr(byte_bpe, "KEPT", 20)
-    monkeypatch.setattr(byte_bpe, "TOGETHER", 90)
-    texts = fuzz(300, 5)
-    assert [x.tolist() for x in own.encode_batch(texts)] == [other.encode_ordinary(t) for t in texts]
+def test_parts_and_groups_change_nothing(monkeypatch):
+    own, other = byte_bpe.codec(), reference()
+    texts = fuzz(600, 5)
+    want = [other.encode_ordinary(t) for t in texts]
+    for size in (1, 7, 90):
+        monkeypatch.setattr(byte_bpe, "TOGETHER", size)
+        assert [*own.encode_batch(texts)] == want
+        assert all("".join(byte_bpe.parted(t, size)) == t for t in texts)
+    assert any(len(byte_bpe.parted(t, 7)) > 2 for t in texts)
+    assert max(map(len, byte_bpe.parted("ab " * 1000, 90))) < 100
 
 
 def test_offsets_and_split_characters():
