@@ -96,16 +96,16 @@ def redact(docs: DataFrame) -> DataFrame:
     found = found.withColumn("reach", F.max("end").over(before.rowsBetween(Window.unboundedPreceding, -1)))
     found = found.withColumn("block", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(before))
     blocks = found.groupBy("doc_id", "text_hash", "block").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    id_, hash_, marks_ = unused(docs, "id", "hash", "marks")
+    id_, hash_, marks_, masked_ = unused(docs, "id", "hash", "marks", "masked")
     marks = blocks.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias(marks_))
     marks = bounded(checkpointed(marks), 48 * F.size(marks_))
     got = docs.join(marks, docs["doc_id"].cast("long").eqNullSafe(F.col(id_)) & (text_hash() == F.col(hash_)), "left")
-    text, length = F.col("text"), F.length("text").cast("long")
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(marks_, lambda m: m["end"]))
-    ends = F.concat(F.transform(marks_, lambda m: m["start"]), F.array(length))
-    kept = F.array_join(F.zip_with(starts, ends, lambda a, b: text.substr((a + 1).cast("int"), (b - a).cast("int"))), MASK)
-    of = {"text": F.when(F.col(marks_).isNull(), text).otherwise(kept)}
-    of["n_chars"] = F.coalesce(F.length(of["text"]).cast("long"), F.col("n_chars")) if "n_chars" in docs.columns else None
+    ends = F.concat(F.transform(marks_, lambda m: m["start"]), F.array(F.length("text").cast("long")))
+    kept = F.zip_with(starts, ends, lambda a, b: F.col("text").substr((a + 1).cast("int"), (b - a).cast("int")))
+    # a column of its own first: inside a lambda, the name of a column of the same select would be that one
+    got = got.withColumn(masked_, F.when(F.col(marks_).isNull(), F.col("text")).otherwise(F.array_join(kept, MASK)))
+    of = {"text": F.col(masked_), "n_chars": F.coalesce(F.length(masked_).cast("long"), F.col("n_chars"))}
     return got.select(*(of[c].alias(c) if c in of else F.col(f"`{c}`") for c in docs.columns))
 
 

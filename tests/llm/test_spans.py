@@ -164,6 +164,8 @@ def test_redaction(spark, docs, no_docs):
     assert {x for x in out if x[0] != 8} == {(i, t) for i, t in TEXTS if i != 8}
     assert secrets.redact(no_docs).count() == 0
     rows = [(1, "password=hunter22hunter", 1), (1, "nothing here", 2), (None, "token: abcdefgh1", 3), (2, "mail a@b.com to 10.0.0.1 password=hunter22hunter", 4)]
+    sized = spark.createDataFrame([(i, t, 7) for i, t, _ in rows], "doc_id bigint, text string, n_chars bigint")
+    assert all(r["n_chars"] == len(r["text"]) for r in secrets.redact(sized).collect())
     df = spark.createDataFrame(rows, "doc_id bigint, text string, `a b` int")
     assert [r["text"] for r in secrets.redact(df).orderBy("`a b`").collect()] == ["[SECRET]", "nothing here", "[SECRET]", "mail a@b.com to 10.0.0.1 [SECRET]"]
 
