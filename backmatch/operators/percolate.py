@@ -34,6 +34,8 @@ from ..sources.documents import field_values
 
 #: Queries in one expression.
 COMPILED_QUERIES = 1024
+#: Clauses of a query that are tried before the whole of it, and the longest text in which their values are sought.
+TRIED_CLAUSES, HAYSTACK = 4, 4096
 #: Estimated bytes of a key's row and of a literal.
 KEY_BYTES, LITERAL_BYTES = 64, 160
 
@@ -90,10 +92,45 @@ def _literals(queries: Iterable[Query]) -> int:
     return sum(len(c.literals) for q in queries for c in q.clauses)
 
 
+def _needle(x: Literal) -> str | None:
+    """Text that ``_haystack`` holds if a document satisfies the literal."""
+    if x.neg or x.kind not in ("term", "prefix", "eq"):
+        return None
+    return f"\x1c{x.field}\x1f{x.num}\x1e" if x.kind == "eq" else f"\x1c{x.field}\x1d{x.val}" + "\x1e" * (x.kind == "term")
+
+
+def _haystack(fields: Mapping[str, set[str]]) -> Column:
+    """All values of a ``parsed`` document that needles may ask for as one text, null if it is long."""
+    wanted = sorted(fields.get("term", set()) | fields.get("prefix", set()))
+    none = F.array().cast("array<string>")
+    each = lambda e, sep: F.transform(e["value"], lambda v: F.concat(F.lit("\x1c"), e["key"], F.lit(sep), v.cast("string"), F.lit("\x1e")))
+    told = lambda name, sep: F.flatten(F.transform(F.map_entries(name), lambda e: F.coalesce(each(e, sep), none)))
+    parts = [told(F.map_filter("f", lambda k, _: k.isin(wanted)), "\x1d")] * bool(wanted) + [told(F.col("fi"), "\x1f")] * ("eq" in fields)
+    text = F.array_join(F.concat(none, *(F.coalesce(p, none) for p in parts)), "")
+    return F.get(F.filter(F.array(text), lambda t: F.length(t) <= HAYSTACK), F.lit(0))
+
+
 def _cross(docs: DataFrame, queries: list[tuple[int, Query]], config: EngineConfig) -> DataFrame:
-    fields = needs(q for _, q in queries)
-    own = _bounded(query_frame(docs.sparkSession, queries), LITERAL_BYTES * _literals(q for _, q in queries), config)
-    return parsed(docs, fields).join(own, clauses_match(F.col("clauses"), fields), "inner").select("doc_id", "qid")
+    """All documents by all queries.  Whole queries are evaluated by interpreted functions, so up to ``TRIED_CLAUSES``
+    of a query's clauses, those of one or two literals with needles, are tried before in generated code: by rareness,
+    which is estimated from how many needles queries name for a field."""
+    fields, needles = needs(q for _, q in queries), {}
+    for x in (x for _, q in queries for c in q.clauses for x in c.literals):
+        needles.setdefault((x.kind, x.field), set()).add(_needle(x))
+    share = lambda c: sum(1 / len(needles[x.kind, x.field]) for x in c.literals)
+    slots = [(f"a{i}", f"b{i}") for i in range(TRIED_CLAUSES)]
+    tried: dict[str, list[str | None]] = {name: [] for slot in slots for name in slot}
+    for _, q in queries:
+        found = sorted((c for c in q.clauses if 0 < len(c.literals) <= 2 and all(map(_needle, c.literals))), key=share)
+        for slot, c in zip(slots, [*found[:TRIED_CLAUSES], *[Clause(())] * TRIED_CLAUSES]):
+            for name, x in zip(slot, [*map(_needle, c.literals), None, None]):
+                tried[name].append(x)
+    spark, size = docs.sparkSession, LITERAL_BYTES * _literals(q for _, q in queries) + sum(len(x) + 16 for xs in tried.values() for x in xs if x)
+    own = pa.table({"qid": pa.array([i for i, _ in queries], pa.int64()), "clauses": _clauses(q for _, q in queries)} | {k: pa.array(v, pa.string()) for k, v in tried.items()})
+    own = spark.createDataFrame(own) if queries else query_frame(spark, []).select("*", *(F.lit(None).cast("string").alias(k) for k in tried))
+    may = " AND ".join(f"({a} IS NULL OR contains(text, {a}) OR ({b} IS NOT NULL AND contains(text, {b})))" for a, b in slots)
+    docs = parsed(docs, fields).select("*", _haystack(fields).alias("text"))
+    return docs.join(_bounded(own, size, config), F.expr(f"text IS NULL OR ({may})") & clauses_match(F.col("clauses"), fields), "inner").select("doc_id", "qid")
 
 
 def _none(docs: DataFrame) -> DataFrame:

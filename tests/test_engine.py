@@ -179,6 +179,37 @@ def test_strategies_equal_the_definition(spark, seed):
     assert {r["doc_id"] for r in search(df, some).collect()} == {d for d, i in want if i == queries[seed][0]}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+#: Texts that look like parts of others, separators, texts too long to be sought in, and integers in several forms.
+ODD = ["a", "ab", "a\x1e", "\x1e", "b\x1e\x1cg\x1da", "", "é", "x" * 5000, "a" * 4096, "7", "007", "+7", " 7", "%", "_"]
+
+
+def odd_cases(spark):
+    values = [{"f": [v]} for v in ODD] + [{"g": [v]} for v in ODD] + [{"f": ["b", v], "g": ["7", v]} for v in ODD]
+    docs = list(enumerate(values))
+    nulls = [(1000, {"f": None, "g": ["a"]}), (1001, {"f": [None, "a"], "g": [None]}), (1002, {}), (1003, None)]
+    df = spark.createDataFrame([*docs, *nulls], "doc_id bigint, f map<string,array<string>>")
+    known = [(d, Document({k: [v for v in vs or [] if v is not None] for k, vs in (f or {}).items()})) for d, f in docs + nulls]
+    atoms = [field(n).has_value(v) for n in "fg" for v in ODD] + [field(n).has_prefix(v) for n in "fg" for v in ODD] + [field(n).i64_eq(k) for n in "fg" for k in (7, -7)] + [field("f").i64_lt(8), field("g").i64_ge(7)]
+    rng = random.Random(3)
+    some = lambda: rng.choice(atoms)
+    mixed = [q for _ in range(30) for q in (some() & some(), some() | some(), (some() | some()) & some() & ~some(), ~some() & ~some(), some() | some() | some())]
+    return df, known, list(enumerate([*atoms, *mixed]))
+
+
+def test_cross_tries_clauses_before_whole_queries(spark):
+    """Clauses of texts are tried in generated code first, which loses no match of odd texts, null arrays and null maps."""
+    df, known, queries = odd_cases(spark)
+    got = percolate(df, queries, "cross")
+    assert pairs(got) == expected(queries, known)
+    on = plan_of(got).split("NestedLoopJoin", 1)[1].split("\n", 1)[0]
+    assert 0 <= on.lower().find("contains(text") < on.find("forall(")
+    assert percolate(df, [], "cross").count() == 0
+
+
 def test_exact_where_acceleration_might_not_be(spark):
     """Two bounds on one field, extreme bounds, non-ASCII prefixes, cells and radii on one field, spoofed names."""
     docs = [(0, Document.of([("f", "8")])), (1, Document.of([("f", str(2**63 - 1))])), (2, Document.of([("f", "éab")])), (3, Document.of([("__match_all__", "true"), ("__PREFIX2__f", "éa")])), (4, Document.of([("f", "48.86,2.34")]))]
