@@ -88,24 +88,30 @@ def text_sql(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def literal_sql(x: Literal) -> str:
-    """A positive literal over a ``parsed`` document as SQL text, which is cheap to make in great numbers."""
-    if x.kind == "all":
-        return "true"
+def operand_sql(x: Literal) -> str:
+    """What an atom needs of a ``parsed`` document, as SQL text that all atoms of its kind on its field have in common."""
     of = lambda name: f"try_element_at({name}, {text_sql(x.field)})"
-    if x.kind == "term":
-        got = f"array_contains({of('f')}, {text_sql(x.val)})"
-    elif x.kind == "prefix":
-        got = f"exists({of('f')}, v -> startswith(v, {text_sql(x.val)}))"
+    if x.kind == "prefix":
+        return f"transform({of('f')}, v -> substring(v, 1, {len(x.val)}))"
+    if x.kind in ("lt", "le", "ge", "gt"):
+        return f"array_{'min' if x.kind in ('lt', 'le') else 'max'}({of('fi')})"
+    return "true" if x.kind == "all" else of({"term": "f", "eq": "fi", "h3": "fc", "geo": "fg"}[x.kind])
+
+
+def literal_sql(x: Literal, operand: str) -> str:
+    """A positive literal over its operand as SQL text, which is cheap to make in great numbers; but for cells and
+    points it becomes generated code."""
+    n = x.num is not None and (f"{x.num}L" if x.num > -(2**63) else "(-9223372036854775807L - 1L)")
+    if x.kind in ("all", "term", "prefix", "eq"):
+        got = operand if x.kind == "all" else f"array_contains({operand}, {n if x.kind == 'eq' else text_sql(x.val)})"
     elif x.kind == "h3":
         res = geo.resolution(x.num)
-        got = f"exists({of('fc')}, v -> coalesce((shiftright(v, 52) & 15) >= {res} AND ((v & {~(15 << 52)}L) | {res << 52}L | {(1 << 3 * (15 - res)) - 1}L) = {x.num}L, false))"
+        got = f"exists({operand}, v -> coalesce((shiftright(v, 52) & 15) >= {res} AND ((v & {~(15 << 52)}L) | {res << 52}L | {(1 << 3 * (15 - res)) - 1}L) = {x.num}L, false))"
     elif x.kind == "geo":
         h = f"pow(sin(radians({x.lat!r}D - v.lat) / 2), 2) + cos(radians(v.lat)) * cos(radians({x.lat!r}D)) * pow(sin(radians({x.lng!r}D - v.lng) / 2), 2)"
-        got = f"exists({of('fg')}, v -> coalesce({2 * geo.RADIUS_M!r}D * asin(sqrt(least(1.0D, {h}))) <= {x.radius}L, false))"
+        got = f"exists({operand}, v -> coalesce({2 * geo.RADIUS_M!r}D * asin(sqrt(least(1.0D, {h}))) <= {x.radius}L, false))"
     else:
-        n = f"{x.num}L" if x.num > -(2**63) else "(-9223372036854775807L - 1L)"
-        got = f"exists({of('fi')}, v -> coalesce(v {INT_KINDS[x.kind]} {n}, false))"
+        got = f"{operand} {INT_KINDS[x.kind]} {n}"
     return f"coalesce({got}, false)"
 
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.predicates import CLAUSES, LITERAL, clauses_match, compiled, from_rows, literal_sql, needs, parsed
+from ..functions.predicates import CLAUSES, LITERAL, clauses_match, compiled, from_rows, literal_sql, needs, operand_sql, parsed
 from ..plans.anchors import Classes, Costs, Extractor, choose, pick, query_keys
 from ..plans.config import EngineConfig
 from ..query import Clause, Literal, Query
@@ -146,6 +146,11 @@ def _compiled(docs: DataFrame, queries: Iterable[tuple[int, Query]]) -> DataFram
     return _none(docs) if out is None else out
 
 
+#: A null that has no generated code.  It keeps a projection of many expressions out of the code of its stage, where
+#: they'd be one method, too large for the JVM to compile; a projection on its own splits them.
+_APART = "get(transform(array(doc_id), x -> CAST(NULL AS {})), 0)"
+
+
 def _expression(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
     atoms: dict[Literal, int] = {}
 
@@ -156,9 +161,14 @@ def _expression(docs: DataFrame, queries: list[tuple[int, Query]]) -> DataFrame:
         return f"({' OR '.join(dict.fromkeys(map(literal, c.literals))) or 'false'})"
 
     each = [f"CASE WHEN {' AND '.join(dict.fromkeys(map(clause, q.clauses))) or 'true'} THEN {i}L END" for i, q in queries]
-    # exploded, as a plain column would be computed again for each query
-    found = parsed(docs, needs(q for _, q in queries)).select("doc_id", F.expr(f"explode(array(CAST(array({', '.join(map(literal_sql, atoms))}) AS array<boolean>)))").alias("atoms"))
-    return found.select("doc_id", F.explode(F.expr(f"array_compact(CAST(array({', '.join(each)}) AS array<bigint>))")).alias("qid"))
+    operands: dict[str, str] = {}
+    true = [literal_sql(x, operands.setdefault(operand_sql(x), f"o{len(operands)}")) for x in atoms]
+    found = parsed(docs, needs(q for _, q in queries)).select("doc_id", *(F.expr(e).alias(name) for e, name in operands.items()))
+    found = found.select("doc_id", F.expr(f"array({', '.join([*true, _APART.format('boolean')])})").alias("atoms"))
+    # exploded, as the elements of a plain array would be computed again for each query
+    found = found.select("doc_id", F.explode(F.array("atoms")).alias("atoms"))
+    found = found.select("doc_id", F.expr(f"array({', '.join([*each, _APART.format('bigint')])})").alias("qids"))
+    return found.select("doc_id", F.explode(F.array_compact("qids")).alias("qid"))
 
 
 def document_keys(docs: DataFrame, classes: Iterable[Classes]) -> DataFrame:

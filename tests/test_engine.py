@@ -210,6 +210,17 @@ def test_cross_tries_clauses_before_whole_queries(spark):
     assert percolate(df, [], "cross").count() == 0
 
 
+def test_compiled_queries_are_generated_code(spark):
+    """Atoms and queries are projections of their own, also where only qid is asked for, and no match of odd texts is lost."""
+    df, known, queries = odd_cases(spark)
+    got = percolate(df, queries, "compiled")
+    assert pairs(got) == expected(queries, known)
+    for plan in (plan_of(got), plan_of(got.select("qid"))):
+        made = [line.lstrip(" +-:") for line in plan.split("\n") if "coalesce(array_contains(" in line or "CASE WHEN atoms" in line]
+        assert [line.split("[", 1)[0].strip() for line in made] == ["Project", "Project"], [line[:200] for line in made]
+    assert percolate(df, [], "compiled").count() == 0
+
+
 def test_exact_where_acceleration_might_not_be(spark):
     """Two bounds on one field, extreme bounds, non-ASCII prefixes, cells and radii on one field, spoofed names."""
     docs = [(0, Document.of([("f", "8")])), (1, Document.of([("f", str(2**63 - 1))])), (2, Document.of([("f", "éab")])), (3, Document.of([("__match_all__", "true"), ("__PREFIX2__f", "éa")])), (4, Document.of([("f", "48.86,2.34")]))]
